@@ -1,10 +1,642 @@
-"""Named queries over the test tables, each with DuckDB SQL where SQL can express it."""
+"""Named queries over the test tables, each with DuckDB SQL where SQL can express it.
+
+All run over whole tables. Where a query takes a limit, the limit is what it shows (top k, a queue, a preview).
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mosaiq.functions import filters, vectors
+from mosaiq.functions import text as X
+from mosaiq.operators import batch, cells, checkpoint, chunking, compare, export, models, retrieval, store
+from mosaiq.session import shared_folder
+from mosaiq.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+SIZE, OVERLAP, K, DIM = 750, 100, 5, 12
+QUESTION = "What is said about the future?"
+QUESTIONS = [QUESTION, "Which words come first?", "How is the text put together?"]
+META = ["lang", "source"]
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(fn):
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql:
+            ORACLES[key] = sql
+        return fn
+
+    return register
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _dl(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left")
+
+
+def _c(spark: SparkSession, d: str, meta: list[str] | None = None) -> DataFrame:
+    return chunking.chunks(_t(spark, d, "documents"), SIZE, OVERLAP, id_col="doc_id", meta=META if meta is None else meta)
+
+
+def _ce(spark: SparkSession, d: str, meta: list[str] | None = None) -> DataFrame:
+    return models.MockEmbedder(DIM).embed(_c(spark, d, meta))
+
+
+_ORDER = ["doc_id", "chunk_index"]
+DL = "DL AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+C = f"""N AS (SELECT *, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= {SIZE} THEN 1
+ ELSE 1 + ceil((length(text) - {SIZE}) / {SIZE - OVERLAP}.0)::BIGINT END)) AS i FROM documents),
+P AS (SELECT doc_id, lang, source, n_chars, i::INT AS chunk_index, substr(text, i * {SIZE - OVERLAP} + 1, {SIZE}) AS text FROM N),
+C AS (SELECT *, sha256(doc_id::VARCHAR || chr(31) || chunk_index::VARCHAR || chr(31) || text) AS chunk_id FROM P)"""
+VEC = "list_transform(range({dim}), lambda k: (('0x' || substr(sha256({text}), 2 * (k % 32)::INT + 1, 2))::INT / 255.0) * 2.0 - 1.0)"
+CE = f"{C}, CE AS (SELECT *, {VEC.format(dim=DIM, text='text')}::DOUBLE[] AS v FROM C)"
+
+
+def _sql_vec(v: list[float]) -> str:
+    return "[" + ", ".join(f"{x!r}::DOUBLE" for x in v) + "]"
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# ---- text ----
+
+
+def _dirty() -> Column:
+    c = F.replace(F.replace(F.col("text"), F.lit(" "), F.lit("  \t")), F.lit("\n"), F.lit(" \r\n\n "))
+    return F.concat(F.lit("\t"), c, F.lit("\xa0"))
+
+
+_DIRTY = "(chr(9) || replace(replace(text, ' ', '  ' || chr(9)), chr(10), ' ' || chr(13) || chr(10) || chr(10) || ' ') || chr(160))"
+_WHITE = " || ".join(f"chr({ord(c)})" for c in X.WHITE)
+_CLEAN = f"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{}}, chr(13) || chr(10) || '?', chr(10), 'g'),
+ '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || '{{{{2,}}}}', chr(10), 'g'), ' *' || chr(10) || ' *', chr(10), 'g'), {_WHITE})"""
+
+
+@query(f"SELECT doc_id, {_CLEAN.format(_DIRTY)} AS clean_text FROM documents")
+def clean_text(s, d):
+    return _t(s, d, "documents").select("doc_id", X.clean(_dirty()).alias("clean_text"))
+
+
+@query(f"SELECT doc_id, sha256({_DIRTY}) AS raw_hash, sha256({_CLEAN.format(_DIRTY)}) AS text_hash FROM documents")
+def clean_preserve_raw(s, d):
+    docs = chunking.clean_documents(_t(s, d, "documents").withColumn("text", _dirty()), preserve_raw=True)
+    return docs.select("doc_id", X.text_hash(F.col("raw")).alias("raw_hash"), X.text_hash(F.col("text")).alias("text_hash"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_hash FROM documents")
+def text_hash(s, d):
+    return _t(s, d, "documents").select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 140 THEN substr(text, 1, 137) || '...' ELSE text END AS preview FROM documents")
+def truncate_text(s, d):
+    return _t(s, d, "documents").select("doc_id", X.truncate(F.col("text")).alias("preview"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+ '''', '&#x27;'), chr(10), '<br />') AS escaped FROM pages""")
+def html_escape(s, d):
+    return _t(s, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: length(trim(x)) > 0))::INT AS n_parts FROM documents""")
+def split_context(s, d):
+    doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return _t(s, d, "documents").select("doc_id", F.size(X.split_context(doubled)).alias("n_parts"))
+
+
+@query(f"WITH {C} SELECT doc_id, chunk_index, text FROM C")
+def chunk_explode(s, d):
+    return _c(s, d, []).select("doc_id", "chunk_index", "text")
+
+
+@query(f"WITH {C} SELECT doc_id, chunk_index, (chunk_index * {SIZE - OVERLAP})::INT AS start_char, (chunk_index * {SIZE - OVERLAP} + length(text))::INT AS end_char FROM C")
+def chunk_offsets(s, d):
+    return _c(s, d, []).select("doc_id", "chunk_index", "start_char", "end_char")
+
+
+@query(f"WITH {C} SELECT doc_id, chunk_index, chunk_id FROM C")
+def chunk_ids(s, d):
+    return _c(s, d, []).select("doc_id", "chunk_index", "chunk_id")
+
+
+@query("""WITH S AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, (i - 1)::INT AS chunk_index, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM S)""")
+def chunk_sentences(s, d):
+    docs = _t(s, d, "documents").select("doc_id", "text")
+    return chunking.custom_chunks(docs, chunking.sentences, python=False, id_col="doc_id", meta=[]).select("doc_id", "chunk_index", "text")
+
+
+# ---- metadata ----
+
+
+def _cells(fields: list[str], base: str, where: str) -> str:
+    spelled = " || '|' || ".join(f"'{f}=' || {f}::VARCHAR" for f in sorted(fields))
+    return f"WITH {DL} SELECT DISTINCT {spelled} AS cell_id, {', '.join(fields)} FROM {base} WHERE {where}"
+
+
+@query(_cells(["lang"], "documents", "lang IS NOT NULL"))
+def cells_1field(s, d):
+    return cells.construct_cells(_c(s, d), ["lang"])
+
+
+@query(_cells(["lang", "source"], "documents", "lang IS NOT NULL AND source IS NOT NULL"))
+def cells_2field(s, d):
+    return cells.construct_cells(_c(s, d), ["lang", "source"])
+
+
+@query(_cells(["lang", "source", "quality"], "DL", "lang IS NOT NULL AND source IS NOT NULL AND quality IS NOT NULL"))
+def cells_3field(s, d):
+    return cells.construct_cells(_dl(s, d), ["lang", "source", "quality"])
+
+
+@query(_cells(["quality", "toxic"], "DL", "quality IS NOT NULL AND toxic IS NOT NULL"))
+def cells_numeric(s, d):
+    return cells.construct_cells(_dl(s, d), ["quality", "toxic"])
+
+
+@query(f"WITH {DL} SELECT DISTINCT 'lang=' || lang || '|quality=' || coalesce(quality::VARCHAR, 'None') AS cell_id, lang, quality FROM DL")
+def cells_null_meta(s, d):
+    return cells.construct_cells(_dl(s, d), ["lang", "quality"], include_null_cells=True)
+
+
+@query(f"WITH {DL} SELECT DISTINCT 'lang=' || lang || '|source=' || source AS cell_id, 'lang=' || lang || ' | source=' || source AS label FROM DL")
+def cell_label(s, d):
+    c = cells.construct_cells(_dl(s, d), META)
+    return c.select("cell_id", cells.cell_label(c, META).alias("label"))
+
+
+@query(f"WITH {C} SELECT chunk_id FROM C WHERE lang = 'en' AND source = 'src1'")
+def chunks_for_cell(s, d):
+    return cells.chunks_for_cell(_c(s, d), {"lang": "en", "source": "src1"}).select("chunk_id")
+
+
+@query(f"WITH {C} SELECT lang, source, count(*) AS n FROM C GROUP BY ALL")
+def chunks_per_cell(s, d):
+    return _c(s, d).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DL} SELECT value, row_number() OVER (ORDER BY value::VARCHAR)::INT AS ord FROM (SELECT DISTINCT source AS value FROM DL)")
+def distinct_values(s, d):
+    return cells.unique_values(_dl(s, d), "source")
+
+
+@query("""SELECT field, list_sort(list_distinct(list(value))) AS values FROM
+ (SELECT unnest(['lang', 'source']) AS field, unnest([lang, source]) AS value FROM documents) GROUP BY field""")
+def list_metadata_values(s, d):
+    return cells.list_metadata_values(_t(s, d, "documents"), META)
+
+
+@query("SELECT value, row_number() OVER (ORDER BY value)::INT AS ord FROM (SELECT DISTINCT json_extract_string(props, '$.k') AS value FROM events) WHERE value IS NOT NULL")
+def list_metadata_json(s, d):
+    values = cells.list_metadata_values(_t(s, d, "events"), ["k"], "props").select(F.posexplode("values").alias("ord", "value"))
+    return values.select("value", (F.col("ord") + 1).alias("ord"))
+
+
+@query(f"""WITH {DL} SELECT doc_id, '{{"lang":"' || lang || '","quality":' || coalesce(quality::VARCHAR, 'null') || ',"source":"' || source || '","toxic":' || coalesce(toxic::VARCHAR, 'null') || '}}' AS metadata_json FROM DL""")
+def metadata_json(s, d):
+    dl = _dl(s, d)
+    return dl.select("doc_id", cells.metadata_json(dl, ["source", "lang", "toxic", "quality"]).alias("metadata_json"))
+
+
+@query("""SELECT field, CASE WHEN count(v) = 0 THEN 'string' WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'bool' WHEN bool_and(try_cast(v AS BIGINT) IS NOT NULL AND NOT contains(v, '.')) THEN 'int'
+ WHEN bool_and(try_cast(v AS DOUBLE) IS NOT NULL) THEN 'float' ELSE 'string' END AS kind
+FROM (SELECT unnest(['event_type', 'k', 'user_id', 'value']) AS field, unnest([event_type, json_extract_string(props, '$.k'), user_id::VARCHAR, value::VARCHAR]) AS v FROM events) GROUP BY field""")
+def metadata_types(s, d):
+    e = _t(s, d, "events")
+    spelled = F.inline(F.array(*[F.struct(F.lit(n).alias("field"), c.cast("string").alias("v")) for n, c in [("event_type", F.col("event_type")), ("k", F.get_json_object("props", "$.k")), ("user_id", F.col("user_id")), ("value", F.col("value"))]]))
+    return e.select(spelled).groupBy("field").agg(cells.inferred_kind(F.col("v")).alias("kind"))
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS field FROM events")
+def metadata_fields(s, d):
+    return cells.metadata_fields(_t(s, d, "events"), "props")
+
+
+@query("SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def duplicate_ids(s, d):
+    return chunking.duplicate_ids(_t(s, d, "conversations"), "conv_id")
+
+
+_FLAT = f"WITH {C} SELECT chunk_id, doc_id AS document_id, sha256(text) AS text, chunk_index, (chunk_index * {SIZE - OVERLAP})::INT AS start_char, (chunk_index * {SIZE - OVERLAP} + length(text))::INT AS end_char, lang, source FROM C"
+
+
+def _named(s, d) -> DataFrame:
+    return _c(s, d).withColumnRenamed("doc_id", "document_id").withColumn("text", X.text_hash(F.col("text")))
+
+
+@query(_FLAT)
+def chunks_dataframe(s, d):
+    return cells.chunks_dataframe(_named(s, d), META)
+
+
+# ---- filters ----
+
+
+def _filter(name: str, spec: dict, where: str) -> None:
+    def run(s, d):
+        dl = _dl(s, d)
+        return dl.where(filters.compile_filter(dl, spec)).select("doc_id")
+
+    query(f"WITH {DL} SELECT doc_id FROM DL WHERE {where}", name)(run)
+
+
+_filter("filter_eq", {"lang": "en"}, "lang = 'en'")
+_filter("filter_in_list", {"source": ["src1", "src2", None, "none"], "lang": ("en", "fr")}, "source IN ('src1', 'src2') AND lang IN ('en', 'fr')")
+_filter("filter_ops_ne", {"quality": {"op": "!=", "value": 1}}, "quality <> 1")
+_filter("filter_ops_gt", {"n_chars": {"op": ">", "value": 1000}}, "n_chars > 1000")
+_filter("filter_ops_ge", {"quality": {"op": ">=", "value": 1}}, "quality >= 1")
+_filter("filter_ops_lt", {"n_chars": {"op": "<", "value": 500.5}}, "n_chars < 500.5")
+_filter("filter_ops_le", {"toxic": {"op": "<=", "value": 0}}, "toxic <= 0")
+_filter("filter_ops_in", {"quality": {"op": "in", "value": [0, None, "x"]}}, "quality IN (0)")
+_filter("filter_ops_notin", {"quality": {"op": "not in", "value": [0, None]}}, "quality IS NOT NULL AND quality NOT IN (0)")
+_filter("filter_ops_isnull", {"quality": {"op": "is null"}}, "quality IS NULL")
+_filter("filter_ops_notnull", {"quality": {"op": "is not null"}}, "quality IS NOT NULL")
+_filter("filter_ops_alias", {"n_chars": {"op": "GTE", "value": 700}, "lang": {"op": "neq", "value": "de"}}, "n_chars >= 700 AND lang <> 'de'")
+_filter("filter_clauses_and", {"__logic__": "and", "__clauses__": [{"field": "lang", "op": "==", "value": "en"}, {"field": "quality", "op": "eq", "value": 1}, {"op": "=", "value": 3}]}, "lang = 'en' AND quality = 1")
+_filter("filter_clauses_or", {"__logic__": "OR", "__clauses__": [{"field": "toxic", "op": "=", "value": 1}, {"field": "source", "op": "in", "value": ["src3"]}]}, "toxic = 1 OR source = 'src3'")
+_filter("filter_like", {"source": {"op": "like", "value": "src1%"}}, "source LIKE 'src1%'")
+_filter("filter_raw_expr", {"__filter_expr__": "length(text) > 2000 AND lang IN ('en', 'de')", "lang": "fr"}, "length(text) > 2000 AND lang IN ('en', 'de')")
+
+
+@query(f"WITH {DL} SELECT doc_id FROM DL WHERE n_chars >= 500 AND quality = 1 AND lang = 'en' AND source = 'src1'")
+def filter_combined(s, d):
+    dl = _dl(s, d)
+    base = {"__logic__": "and", "__clauses__": [{"field": "n_chars", "op": ">=", "value": 500}, {"field": "quality", "op": "=", "value": 1}]}
+    return dl.where(filters.combined(dl, base, {"lang": "en", "source": "src1"})).select("doc_id")
+
+
+@query(f"WITH {DL} SELECT doc_id FROM DL WHERE lang IN ('en', 'fr') AND n_chars > 300 AND quality IS NOT NULL")
+def filter_subset(s, d):
+    dl = _dl(s, d)
+    spec = filters.conditions([("lang", "in", "en, fr"), ("n_chars", "gt", "300"), ("quality", "isnotnull", ""), ("source", "=", " ")])
+    return dl.where(filters.compile_filter(dl, spec)).select("doc_id")
+
+
+@query(f"WITH {DL} SELECT doc_id FROM DL WHERE source = 'src7' OR n_chars < 99.5 OR quality IN (0, 5)")
+def filter_parse(s, d):
+    dl = _dl(s, d)
+    rows = [("source", "=", "'src7'"), ("n_chars", "<", "99.5"), ("quality", "in", "0, 5,")]
+    spec = {**filters.conditions(rows), "__logic__": "or"}
+    return dl.where(filters.compile_filter(dl, spec)).select("doc_id")
+
+
+# ---- vectors ----
+
+
+@query("SELECT doc_id, " + ", ".join(f"round({VEC.format(dim=4, text='text')}[{i + 1}]::DOUBLE, 6) AS v{i}" for i in range(4)) + " FROM documents")
+def mock_embed(s, d):
+    v = X.hash_vector(F.col("text"), DIM)
+    rows = _t(s, d, "documents").select("doc_id", v.alias("v"))
+    return rows.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(4)])
+
+
+def _vector0(s, d) -> list[float]:
+    """The vector of the least vec_id, as a driver-side query."""
+    e = _t(s, d, "embeddings")
+    return [float(x) for x in e.agg(F.min_by("embedding", "vec_id")).first()[0]]
+
+
+_Q0 = "Q AS (SELECT arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings)"
+_SIM = "list_cosine_similarity(embedding::DOUBLE[], q)"
+
+
+@query(f"WITH {_Q0} SELECT vec_id, round({_SIM}, 6) AS score FROM embeddings, Q")
+def cosine_scores(s, d):
+    return _t(s, d, "embeddings").select("vec_id", F.round(vectors.cosine_to(F.col("embedding"), _vector0(s, d)), 6).alias("score"))
+
+
+@query(f"WITH {_Q0} SELECT vec_id, round(-power(list_distance(embedding::DOUBLE[], q), 2), 6) + 0.0 AS score FROM embeddings, Q")
+def l2_scores(s, d):
+    return _t(s, d, "embeddings").select("vec_id", (F.round(vectors.l2_score_to(F.col("embedding"), _vector0(s, d)), 6) + 0.0).alias("score"))
+
+
+@query("SELECT vec_id, len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AS ok FROM embeddings")
+def vector_validate(s, d):
+    return _t(s, d, "embeddings").select("vec_id", vectors.finite(F.col("embedding")).alias("ok"))
+
+
+def _ranked_sql(where: str) -> str:
+    return f"""WITH {_Q0}, R AS (SELECT vec_id, {_SIM} AS x FROM embeddings, Q WHERE {where})
+SELECT vec_id, row_number() OVER (ORDER BY x DESC, vec_id)::INT AS rk, round(x, 6) AS score FROM R QUALIFY rk <= {K}"""
+
+
+def _topk(s, d, spec) -> DataFrame:
+    from pyspark.sql import Window
+
+    top = retrieval.similarity_search(_t(s, d, "embeddings"), _vector0(s, d), K, spec, order=["vec_id"], vector_col="embedding")
+    return top.select("vec_id", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rk"), F.round("score", 6).alias("score"))
+
+
+@query(_ranked_sql("true"))
+def similarity_topk(s, d):
+    return _topk(s, d, None)
+
+
+@query(_ranked_sql("label IN (1, 2)"))
+def similarity_topk_filtered(s, d):
+    return _topk(s, d, {"label": [1, 2]})
+
+
+@query(f"""WITH {_Q0}, R AS (SELECT label, vec_id, {_SIM} AS x FROM embeddings, Q)
+SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY x DESC, vec_id)::INT AS rk, round(x, 6) AS score FROM R QUALIFY rk <= {K}""")
+def topk_per_cell(s, d):
+    top = retrieval.per_cell(_t(s, d, "embeddings"), ["label"], [{"query_id": "q", "vector": _vector0(s, d), "k": K}], order=["vec_id"], vector_col="embedding")
+    return top.select("label", "vec_id", F.col("rank").alias("rk"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {C} SELECT chunk_id, doc_id, chunk_index FROM C WHERE chunk_id = (SELECT min(chunk_id) FROM C)")
+def get_chunk(s, d):
+    c = _c(s, d)
+    return c.where(F.col("chunk_id") == c.agg(F.min("chunk_id")).first()[0]).limit(1).select("chunk_id", "doc_id", "chunk_index")
+
+
+@query(f"WITH {C} SELECT chunk_id, doc_id, chunk_index FROM C SEMI JOIN (SELECT DISTINCT doc_id, 0 AS chunk_index FROM labels) USING (doc_id, chunk_index)")
+def chunks_by_ids(s, d):
+    c = _c(s, d).select("chunk_id", "doc_id", "chunk_index")
+    ids = c.where("chunk_index = 0").join(_t(s, d, "labels"), "doc_id", "left_semi").select("chunk_id")
+    return c.join(ids, "chunk_id", "left_semi")
+
+
+@query(f"""WITH {CE}, R AS (SELECT chunk_id, doc_id, chunk_index, list_cosine_similarity(v, {_sql_vec(X.hash_vector_of(QUESTION, DIM))}) AS x FROM CE WHERE lang = 'en')
+SELECT chunk_id, row_number() OVER (ORDER BY x DESC, doc_id, chunk_index)::INT AS rk, round(x, 6) AS score FROM R QUALIFY rk <= {K}""")
+def retrieve(s, d):
+    from pyspark.sql import Window
+
+    r = retrieval.Retriever(_ce(s, d), models.MockEmbedder(DIM).embed_query, K, order=_ORDER)
+    top = r.retrieve(QUESTION, {"lang": "en"})
+    return top.select("chunk_id", F.row_number().over(Window.orderBy(F.desc("score"), *_ORDER)).alias("rk"), F.round("score", 6).alias("score"))
+
+
+# ---- comparative queries ----
+
+
+def _top_sql(questions: list[str], where: str = "true", fields: str = "lang, source", k: int = K) -> str:
+    values = ", ".join(f"('q{i + 1}', {_sql_text(q)}, {_sql_vec(X.hash_vector_of(q, DIM))})" for i, q in enumerate(questions))
+    return f"""{CE}, QS(query_id, query_text, q) AS (VALUES {values}),
+T AS (SELECT query_id, query_text, lang, source, doc_id, chunk_index, chunk_id, text,
+ row_number() OVER (PARTITION BY query_id, {fields} ORDER BY list_cosine_similarity(v, q) DESC, doc_id, chunk_index)::INT AS rk FROM CE, QS WHERE {where} QUALIFY rk <= {k})"""
+
+
+_CELL = "'lang=' || lang || '|source=' || source"
+
+
+def _top(s, d, questions=(QUESTION,), base=None) -> DataFrame:
+    embedder = models.MockEmbedder(DIM)
+    queries = [{"query_id": f"q{i + 1}", "vector": embedder.embed_query(q), "k": K} for i, q in enumerate(questions)]
+    top = retrieval.per_cell(_ce(s, d, [*META, "n_chars"]), META, queries, base, order=_ORDER)
+    return compare.with_cell_id(top, META)
+
+
+def _contexts(s, d) -> DataFrame:
+    got = compare.contexts(_top(s, d), META)
+    return compare.with_cell_id(got, META)
+
+
+@query(f"WITH {_top_sql([QUESTION])} SELECT {_CELL} AS cell_id, rk, chunk_id FROM T")
+def compare_retrieval(s, d):
+    return _top(s, d).select("cell_id", F.col("rank").alias("rk"), "chunk_id")
+
+
+_AGG = f"{_CELL} AS cell_id, list(text ORDER BY rk) AS texts, count(*) AS n FROM T GROUP BY lang, source"
+
+
+@query(f"WITH {_top_sql([QUESTION])}, A AS (SELECT {_AGG}) SELECT cell_id, length(array_to_string(texts, chr(10) || chr(10)))::INT AS n_chars, sha256(array_to_string(texts, chr(10) || chr(10))) AS context FROM A")
+def retrieved_context(s, d):
+    c = X.plain_context(F.col("texts"))
+    return _contexts(s, d).select("cell_id", F.length(c).alias("n_chars"), F.sha2(c, 256).alias("context"))
+
+
+@query(f"""WITH {_top_sql([QUESTION])}, A AS (SELECT {_AGG}),
+B AS (SELECT cell_id, 'Context:' || chr(10) || array_to_string(list_transform(texts, lambda t, i: '[Chunk ' || i || ']' || chr(10) || t), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || {_sql_text(QUESTION)} || chr(10) || chr(10) || 'Additional instructions: Be brief.' AS p FROM A)
+SELECT cell_id, length(p)::INT AS n_chars, sha256(p) AS prompt FROM B""")
+def prompt_build(s, d):
+    p = X.user_prompt(F.lit(QUESTION), F.col("texts"), " Be brief. ")
+    return _contexts(s, d).select("cell_id", F.length(p).alias("n_chars"), F.sha2(p, 256).alias("prompt"))
+
+
+_MOCK = f"'[MOCK RESPONSE] Query: ' || {_sql_text(QUESTION)} || '. Chunks: ' || n || '. Snippet: ' || replace(substr(texts[1], 1, 120), chr(10), ' ') || '.'"
+
+
+def _responses(s, d, base=None) -> DataFrame:
+    runner = compare.Runner(_ce(s, d), models.MockEmbedder(DIM), models.MockGenerator(), order=_ORDER)
+    return runner.run([compare.QuerySpec(QUESTION, META, "q1", K, generation_model=None)], base=base)
+
+
+@query(f"WITH {_top_sql([QUESTION])}, A AS (SELECT {_AGG}) SELECT cell_id, n::INT AS n, {_MOCK} AS response_text FROM A")
+def compare_mock(s, d):
+    return _responses(s, d).select("cell_id", F.size("retrieved_chunk_ids").alias("n"), "response_text")
+
+
+@query(f"WITH {_top_sql(QUESTIONS)} SELECT query_id, {_CELL} AS cell_id, rk, chunk_id FROM T")
+def compare_multi_query(s, d):
+    return _top(s, d, QUESTIONS).select("query_id", "cell_id", F.col("rank").alias("rk"), "chunk_id")
+
+
+@query(f"WITH {_top_sql([QUESTION], where="lang IN ('en', 'fr') AND n_chars >= 500")} SELECT {_CELL} AS cell_id, count(*) AS n FROM T GROUP BY ALL")
+def compare_subset(s, d):
+    base = {"lang": ["en", "fr"], "n_chars": {"op": ">=", "value": 500}}
+    return _top(s, d, base=base).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_top_sql([QUESTION])}, A AS (SELECT lang, source, {_AGG})
+SELECT 'q1' AS query_id, {_sql_text(QUESTION)} AS query_text, cell_id, {_MOCK} AS response_text, 'mock-generator' AS model_name, 'mock-embedder' AS embedding_model, n::INT AS retrieved_chunk_count, lang, source, '' AS metadata FROM A""")
+def responses_flat(s, d):
+    return export.flat_responses(_responses(s, d), include_context=False).drop("response_id", "timestamp")
+
+
+@query()
+def responses_json(s, d):
+    return export.response_lines(_responses(s, d))
+
+
+@query(_FLAT)
+def export_chunks_flat(s, d):
+    return export.flat_chunks(_named(s, d), META)
+
+
+@query()
+def export_chunks_json(s, d):
+    return export.chunk_lines(_c(s, d).withColumnRenamed("doc_id", "document_id"), META)
+
+
+@query(f"WITH {_top_sql([QUESTION])}, A AS (SELECT {_AGG}) SELECT 'q1' AS query_id, cell_id, n::INT AS n, {_MOCK} AS response_text FROM A")
+def checkpoint_roundtrip(s, d):
+    ck = checkpoint.Checkpoint(s, f"{shared_folder(s)}/responses-{uuid.uuid4().hex}")
+    runner = compare.Runner(_ce(s, d), models.MockEmbedder(DIM), models.MockGenerator(), order=_ORDER)
+    spec = compare.QuerySpec(QUESTION, META, "q1", K, generation_model=None)
+    runner.run([spec], base={"lang": "en"}, cells_from=cells.chunks_for_cell(_c(s, d), {"lang": "en"}), checkpoint=ck)
+    runner.run([spec], checkpoint=ck, resume=True)
+    return checkpoint.load_responses(s, ck.path).select("query_id", "cell_id", F.size("retrieved_chunk_ids").alias("n"), "response_text")
+
+
+@query(f"SELECT DISTINCT {_CELL} AS cell_id FROM documents WHERE lang <> 'en'")
+def resume_anti(s, d):
+    c = cells.construct_cells(_t(s, d, "documents"), META)
+    done = checkpoint.processed_keys(c.where("lang = 'en'").select(F.lit("q1").alias("query_id"), "cell_id"))
+    return c.withColumn("query_id", F.lit("q1")).join(done, ["query_id", "cell_id"], "left_anti").select("cell_id")
+
+
+# ---- store and batch ----
+
+
+@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+def index_join(s, d):
+    vectors_ = _t(s, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.array(F.col("quality").cast("double")).alias("vector"), F.lit("m").alias("embedding_model"))
+    rows = store.index_rows(_t(s, d, "documents").withColumnRenamed("doc_id", "chunk_id"), vectors_)
+    return rows.select(F.col("chunk_id").alias("doc_id"), "lang", F.col("vector")[0].cast("int").alias("quality"))
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def skip_existing_anti(s, d):
+    return store.skip_existing(_t(s, d, "documents"), _t(s, d, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT DISTINCT doc_id FROM labels SEMI JOIN documents USING (doc_id)")
+def existing_ids_semi(s, d):
+    return store.existing(_t(s, d, "documents"), _t(s, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, NULL FROM documents ANTI JOIN labels USING (doc_id)")
+def store_append_align(s, d):
+    old = _t(s, d, "labels").where("toxic = 0").select("doc_id", "quality")
+    new = _t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+    return old.unionByName(store.align(new, old))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND n_chars > 800")
+def store_scan_filtered(s, d):
+    docs = _t(s, d, "documents")
+    return docs.where(filters.compile_filter(docs, {"lang": "fr", "n_chars": {"op": ">", "value": 800}})).select("doc_id")
+
+
+@query("WITH K AS (SELECT DISTINCT sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id)) SELECT doc_id, sha256(text) IN (SELECT h FROM K) AS hit FROM documents")
+def embedding_cache_lookup(s, d):
+    docs = _t(s, d, "documents")
+    told = docs.join(_t(s, d, "labels"), "doc_id", "left_semi").select(X.text_hash(F.col("text")).alias("text_hash"), F.lit("mock-embedder").alias("model"), X.hash_vector(F.col("text"), DIM).alias("vector"), F.col("doc_id").alias("line_no"))
+    cache = models.load_cache(told, "mock-embedder").select("text_hash", "vector")
+    hashed = docs.select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
+    return hashed.join(cache, "text_hash", "left").select("doc_id", F.col("vector").isNotNull().alias("hit"))
+
+
+@query()
+def batch_request_lines(s, d):
+    return batch.request_lines(_c(s, d), "embed-small")
+
+
+def _outputs(s, d) -> DataFrame:
+    """Output lines as a provider writes them: a vector for labelled documents of quality 1, an error for the others."""
+    lab = _t(s, d, "labels")
+    good = F.format_string('{"custom_id":"%d","response":{"status_code":200,"body":{"data":[{"embedding":[0.5,%d.0],"index":0}]}}}', "doc_id", "toxic")
+    bad = F.format_string('{"custom_id":"%d","response":{"status_code":500,"body":{}}}', "doc_id")
+    return lab.select(F.when(F.col("quality") == 1, good).otherwise(bad).alias("value"))
+
+
+@query("SELECT doc_id::VARCHAR AS custom_id, 2 AS dim FROM labels WHERE quality = 1")
+def batch_output_parse(s, d):
+    return batch.parse_output(_outputs(s, d)).select("custom_id", F.size("vector").alias("dim"))
+
+
+@query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 500)::INT AS file_no FROM documents")
+def batch_file_assign(s, d):
+    return batch.assign_files(_t(s, d, "documents").select("doc_id"), ["doc_id"], 500)
+
+
+@query("""SELECT count(*) FILTER (WHERE d.doc_id IS NOT NULL AND l.toxic = 0) AS added, count(*) FILTER (WHERE NOT (d.doc_id IS NOT NULL AND l.toxic = 0)) AS skipped
+FROM labels l LEFT JOIN documents d USING (doc_id) WHERE l.quality = 1""")
+def batch_ingest_counts(s, d):
+    registry = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    had = _t(s, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    return batch.ingest_counts(batch.parse_output(_outputs(s, d)), registry, had)
+
+
+_LAST = "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id"
+
+
+def _latest(s, d) -> DataFrame:
+    return batch.latest(_t(s, d, "events").select("user_id", "event_type", "value", "ts", "event_id"), "user_id", ("ts", "event_id")).select("user_id", "event_type", "value")
+
+
+@query(_LAST)
+def latest_per_key(s, d):
+    return _latest(s, d)
+
+
+@query(f"SELECT * FROM ({_LAST}) WHERE user_id = (SELECT min(user_id) FROM events)")
+def latest_one(s, d):
+    e = _t(s, d, "events")
+    one = e.where(F.col("user_id") == e.agg(F.min("user_id")).first()[0])
+    return batch.latest(one.select("user_id", "event_type", "value", "ts", "event_id"), "user_id", ("ts", "event_id")).select("user_id", "event_type", "value")
+
+
+_STATUS = {"click": "in_progress", "view": "completed", "purchase": "failed", "signup": "expired"}
+
+
+@query(f"""WITH L AS ({_LAST}), S AS (SELECT user_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items())} ELSE 'cancelled' END AS status, value > 50 AS done FROM L)
+SELECT user_id FROM S WHERE status NOT IN ('completed', 'failed', 'cancelled', 'expired') OR status IN ('completed', 'cancelled', 'expired') AND NOT done""")
+def pending_batches(s, d):
+    e = _t(s, d, "events")
+    status = F.lit("cancelled")
+    for k, v in _STATUS.items():
+        status = F.when(F.col("event_type") == k, v).otherwise(status)
+    log = e.select(F.col("user_id").alias("batch_id"), status.alias("status"), F.when(F.col("value") > 50, 1).alias("ingested_at"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"))
+    return batch.pending(log.select("batch_id"), log).select(F.col("batch_id").alias("user_id"))
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 50")
+def queue_limit(s, d):
+    return batch.queue(_t(s, d, "documents"), _t(s, d, "labels"), ["doc_id"], 50, "doc_id").select("doc_id")
+
+
+_DURATIONS = ["90s", " 5 m ", "24h", "7D", "x", "", "12", "h3"]
+
+
+@query("SELECT * FROM (VALUES ('90s', 90), (' 5 m ', 300), ('24h', 86400), ('7D', 604800), ('x', NULL), ('', NULL), ('12', NULL), ('h3', NULL)) t(text, seconds)".replace("90)", "90::BIGINT)", 1))
+def parse_duration(s, d):
+    rows = s.createDataFrame([(x,) for x in _DURATIONS], "text string")
+    return rows.select("text", X.parse_duration(F.col("text")).alias("seconds"))
+
+
+# ---- sources ----
+
+
+def _csv(s, d, one: bool) -> str:
+    path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    docs = _t(s, d, "documents")
+    docs = docs.repartition(1).sortWithinPartitions("doc_id") if one else docs
+    docs.write.option("escape", '"').option("quoteAll", True).option("lineSep", "\n").csv(f"{path}/documents", header=True)
+    return f"{path}/documents"
+
+
+_STRIPPED = f"trim(text, {_WHITE})"
+
+
+@query(f"SELECT doc_id::VARCHAR AS document_id, sha256({_STRIPPED}) AS text_hash, lang, source FROM documents WHERE {_STRIPPED} <> ''")
+def scan_documents(s, d):
+    docs = files.read_csv(s, _csv(s, d, False), "text", ["lang", "source", "no_such"], "doc_id", schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.select("document_id", X.text_hash(F.col("text")).alias("text_hash"), "lang", "source")
+
+
+@query(f"""WITH R AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT 'documents_' || i AS document_id, 'documents:row_' || i AS source_path, sha256({_STRIPPED}) AS text_hash FROM R WHERE {_STRIPPED} <> ''""")
+def document_ids(s, d):
+    docs = files.read_csv(s, _csv(s, d, True), "text", schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.select("document_id", "source_path", X.text_hash(F.col("text")).alias("text_hash"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang FROM documents ORDER BY documents.doc_id LIMIT 12")
+def preview_limit(s, d):
+    return files.preview(s, _csv(s, d, True)).select("doc_id", "lang")
