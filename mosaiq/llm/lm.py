@@ -85,7 +85,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     if n:
         power[0] = inverse[0] = 1
     with np.errstate(over="ignore"):
-        power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+        power, inverse = np.multiply.accumulate(power, dtype=np.uint32), np.multiply.accumulate(inverse, dtype=np.uint32)
         sums = np.zeros(n + 1, dtype=np.uint32)
         np.cumsum((wide + np.uint32(1)) * power, out=sums[1:])
         word = (sums[np.arange(n)] - sums[start]) * inverse[start]
