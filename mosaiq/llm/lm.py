@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 STREAM = 16 << 20  # bytes of text that one model learns from, on average
 BLOCK = 16_384  # bytes predicted before they are learnt
 TABLE_BITS = 20  # slots of a predictor's table, as a power of two
-WARM = 1 << 19  # bytes at a stream's start that are scored again at its end, when the model has settled
+WARM = 1 << 19  # bytes at a stream's start that are scored again, by a model that has learnt as many that follow them
 _CONTEXTS = 3
 _BUCKETS = 24  # steps of confidence in the refining table
 _RATE = 0.3
@@ -166,29 +166,35 @@ class Mixer:
         return -np.diff(upto.take(ends - 1), prepend=0.0)
 
 
-def score(texts: list[bytes], warm: int = WARM, block: int = BLOCK) -> np.ndarray:
-    """Bits that each text costs, as one stream in the order given."""
-    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
-    np.cumsum([len(t) for t in texts], out=offsets[1:])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    mixer = Mixer(np.bincount(data, minlength=256))
-    cost = np.zeros(len(data) + 1)
+def _learn(mixer: Mixer, data: np.ndarray, offsets: np.ndarray, i: int, upto: int, block: int, cost: np.ndarray) -> None:
+    """Documents i to upto go through the mixer; cost gets the bits of their bytes."""
     part = 1 << 20
     # contexts are made for stretches of whole documents, so that what is held stays small
-    i, again = 0, []
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + part, side="right")) - 1)
+    while i < upto:
+        j = min(upto, max(i + 1, int(np.searchsorted(offsets, offsets[i] + part, side="right")) - 1))
         low, high = int(offsets[i]), int(offsets[j])
         if high > low:
             hashes = contexts(data[low:high], offsets[i : j + 1] - low)
             for a in range(0, high - low, block):
                 b = min(a + block, high - low)
                 cost[low + a : low + b] = mixer.block(data[low + a : low + b], [h[a:b] for h in hashes])
-                if low + a < warm:
-                    again.append((low + a, low + b, [h[a:b].copy() for h in hashes]))
         i = j
-    for a, b, hashes in again:
-        cost[a:b] = mixer.block(data[a:b], hashes, learn=False)
+
+
+def score(texts: list[bytes], warm: int = WARM, block: int = BLOCK) -> np.ndarray:
+    """Bits that each text costs, as one stream in the order given; the first warm bytes after those that follow them."""
+    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t) for t in texts], out=offsets[1:])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    frequency = np.bincount(data, minlength=256)
+    cost = np.zeros(len(data) + 1)
+    _learn(Mixer(frequency), data, offsets, 0, len(texts), block, cost)
+    head = int(np.searchsorted(offsets, min(warm, len(data) // 2), side="right")) - 1
+    after = int(np.searchsorted(offsets, offsets[head] + warm))
+    if head > 0:
+        mixer = Mixer(frequency)
+        _learn(mixer, data, offsets, head, min(after, len(texts)), block, np.empty(len(data) + 1))
+        _learn(mixer, data, offsets, 0, head, block, cost)
     return np.add.reduceat(np.append(cost, 0), offsets)[:-1] * (np.diff(offsets) > 0) if len(texts) else np.empty(0)
 
 
@@ -196,7 +202,8 @@ def lm_scores(docs: DataFrame, stream_bytes: int = STREAM, id_col: str = "doc_id
     """(id, n_bytes, total_bits, bits_per_byte), one row for each row of docs.
 
     A document's bits are those of a model that has learnt the documents before it in its stream (order: a hash of
-    id and text; the first WARM bytes of a stream are scored once more by the model of the whole stream). A null
+    id and text). The first WARM bytes of a stream, at most half of it, have no such past: they are scored by another
+    model, that has learnt the WARM bytes after them. No document is scored by a model that has learnt it. A null
     text has nulls; the empty text has 0 bits and a null rate. Repeated rows follow one another in one stream: the
     later ones are cheap, which is what repetition is. Texts of any length are scored whole. A null id is carried;
     other columns are not read. An empty table gives an empty result.
