@@ -30,7 +30,7 @@ def _splitters(rows: DataFrame, keys: list[str], target: float, oversample: int)
     per = Window.partitionBy("mq_range")
     sums = rows.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"))
     steps = F.greatest(F.ceil(F.col("mq_total") / target), F.lit(1))
-    wanted = rows.join(sums, "mq_range").withColumn("mq_chance", F.least(F.lit(1.0), F.col("mq_size") * oversample * steps / F.greatest("mq_total", F.lit(1))))
+    wanted = rows.join(sums, "mq_range").withColumn("mq_chance", F.least(F.lit(1.0), F.col("mq_size").cast("double") * float(oversample) * steps / F.greatest("mq_total", F.lit(1))))
     draw = (F.xxhash64(F.lit(oversample), "mq_tie").bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
     drawn = wanted.where((F.col("mq_size") > 0) & (draw < F.col("mq_chance"))).withColumn("mq_weight", F.col("mq_size") / F.col("mq_chance"))
     drawn = drawn.groupBy("mq_range", *keys, "mq_tie").agg(F.sum("mq_weight").alias("mq_weight"))
@@ -84,8 +84,8 @@ def _placed(docs: DataFrame, target_bytes: int, oversample: int, slack: float, k
     )
     rows = written(_assign(rows, _splitters(rows, cols, target_bytes, oversample), cols))
     while True:
-        alike = F.xxhash64(*cols, "mq_tie")
-        by = written(rows.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"), (F.min(alike) < F.max(alike)).alias("mq_many")))
+        alike = F.when(F.col("mq_size") > 0, F.xxhash64(*cols, "mq_tie"))  # rows without bytes can't be cut from, nor need they
+        by = written(rows.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"), F.coalesce(F.min(alike) < F.max(alike), F.lit(False)).alias("mq_many")))
         over = by.where((F.col("mq_total") > slack * target_bytes) & F.col("mq_many")).select("mq_range")
         if over.isEmpty():
             break
