@@ -133,20 +133,19 @@ class CrossParser:
         start, size, owner = start[order], size[order], owner[order]
         live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")  # segments longer than t
         roots = np.array(self.roots, dtype=np.int32)[:, None]
-        state = np.broadcast_to(roots, (len(roots), len(start))).copy()
-        ends = np.ones((len(roots), len(start)), dtype=np.int32)  # the phrase that the segment's end ends
+        state = np.zeros((len(roots), len(start)), dtype=np.int32)  # no way leads on from state 0: the next byte begins a phrase
+        begun = np.zeros((len(roots), len(start)), dtype=np.int32)
         step = self.step
         for t in range(int(size[0])):
             m = live[t]
             c = kinds[start[:m] + t]
             to = step.take(state[:, :m] + c)
             fail = to == 0
-            # a phrase ends before this byte and the next begins with it; a byte that no text has is a phrase itself
-            again = np.where(fail, step.take(roots + c), to)
-            ends[:, :m] += fail
-            state[:, :m] = np.where(again == 0, roots, again)
+            # a phrase begins with this byte; if the text doesn't have it, it is a phrase itself
+            begun[:, :m] += fail
+            state[:, :m] = np.where(fail, step.take(roots + c), to)
         for j in range(len(roots)):
-            counts[:, j] = np.bincount(owner, weights=ends[j], minlength=n).astype(np.int64)
+            counts[:, j] = np.bincount(owner, weights=begun[j], minlength=n).astype(np.int64)
         return counts, letters
 
     @staticmethod
