@@ -5,7 +5,7 @@ import numpy as np
 import tiktoken
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, langid
+from mosaiq.llm import bpe, langid, mixing
 from mosaiq.session import written
 
 
@@ -39,10 +39,13 @@ def test_stages_against_plain_versions(spark, sf):
     assert 0 < before.count() - after.count() < 0.2 * before.count()
     before, after = out["mix_sources"]
     assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count() and after.count() >= before.count()
-    share = {r[0]: r[1] for r in after.groupBy("source").agg(F.sum(F.octet_length("text"))).collect()}
-    had = {r[0]: r[1] for r in before.groupBy("source").agg(F.sum(F.octet_length("text"))).collect()}
-    ratio = {k: share[k] / had[k] ** 0.7 for k in had}
-    assert max(ratio.values()) < 1.5 * min(ratio.values())
+    due = {r[0]: r[1] for r in mixing.mix_copies(before).groupBy("source").agg(F.sum("expected")).collect()}
+    got = {r[0]: r[1] for r in after.groupBy("source").count().collect()}
+    assert got.keys() == due.keys() and all(abs(got[k] - due[k]) < 1 for k in due) and abs(sum(got.values()) - sum(due.values())) < 1
+    size = {r[0]: r[1] for r in before.groupBy("source").agg(F.sum(F.octet_length("text"))).collect()}
+    rows = {r[0]: r[1] for r in before.groupBy("source").count().collect()}
+    per = [due[k] / rows[k] * size[k] / size[k] ** 0.7 for k in size]
+    assert max(per) < min(per) * (1 + 1e-9)
     before, after = out["byte_bpe"]
     public = tiktoken.Encoding("p", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=bpe.read_ranks(), special_tokens={})
     want = sorted((repr(r["doc_id"]), public.encode_ordinary(r["text"])) for r in before.collect())
