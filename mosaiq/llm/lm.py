@@ -166,19 +166,21 @@ class Mixer:
         return -np.diff(upto.take(ends - 1), prepend=0.0)
 
 
-def _learn(mixer: Mixer, data: np.ndarray, offsets: np.ndarray, i: int, upto: int, block: int, cost: np.ndarray) -> None:
-    """Documents i to upto go through the mixer; cost gets the bits of their bytes."""
-    part = 1 << 20
-    # contexts are made for stretches of whole documents, so that what is held stays small
+def _learn(mixer: Mixer, data: np.ndarray, offsets: np.ndarray, i: int, upto: int, block: int) -> np.ndarray:
+    """Documents i to upto go through the mixer: the bits that each costs."""
+    bits, part = np.zeros(max(0, upto - i)), 1 << 20
+    first = i
+    # contexts and costs are made for stretches of whole documents, so that what is held stays small
     while i < upto:
         j = min(upto, max(i + 1, int(np.searchsorted(offsets, offsets[i] + part, side="right")) - 1))
         low, high = int(offsets[i]), int(offsets[j])
         if high > low:
-            hashes = contexts(data[low:high], offsets[i : j + 1] - low)
-            for a in range(0, high - low, block):
-                b = min(a + block, high - low)
-                cost[low + a : low + b] = mixer.block(data[low + a : low + b], [h[a:b] for h in hashes])
+            these = data[low:high]
+            hashes = contexts(these, offsets[i : j + 1] - low)
+            cost = [mixer.block(these[a : a + block], [h[a : a + block] for h in hashes]) for a in range(0, high - low, block)]
+            bits[i - first : j - first] = np.add.reduceat(np.append(np.concatenate(cost), 0), offsets[i:j] - low)
         i = j
+    return bits * (np.diff(offsets[first : upto + 1]) > 0) if upto > first else bits
 
 
 def score(texts: list[bytes], warm: int = WARM, block: int = BLOCK) -> np.ndarray:
@@ -187,15 +189,14 @@ def score(texts: list[bytes], warm: int = WARM, block: int = BLOCK) -> np.ndarra
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     data = np.frombuffer(b"".join(texts), np.uint8)
     frequency = np.bincount(data, minlength=256)
-    cost = np.zeros(len(data) + 1)
-    _learn(Mixer(frequency), data, offsets, 0, len(texts), block, cost)
+    bits = _learn(Mixer(frequency), data, offsets, 0, len(texts), block)
     head = int(np.searchsorted(offsets, min(warm, len(data) // 2), side="right")) - 1
-    after = int(np.searchsorted(offsets, offsets[head] + warm))
     if head > 0:
+        after = min(int(np.searchsorted(offsets, offsets[head] + warm)), len(texts))
         mixer = Mixer(frequency)
-        _learn(mixer, data, offsets, head, min(after, len(texts)), block, np.empty(len(data) + 1))
-        _learn(mixer, data, offsets, 0, head, block, cost)
-    return np.add.reduceat(np.append(cost, 0), offsets)[:-1] * (np.diff(offsets) > 0) if len(texts) else np.empty(0)
+        _learn(mixer, data, offsets, head, after, block)
+        bits[:head] = _learn(mixer, data, offsets, 0, head, block)
+    return bits
 
 
 def lm_scores(docs: DataFrame, stream_bytes: int = STREAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
