@@ -20,6 +20,8 @@ SAMPLE_DOCS = 64
 SAMPLE_BYTES = 24_000
 #: A document is parsed in segments of this many bytes; no phrase crosses from one to the next. The text is parsed whole.
 SEGMENT = 2048
+#: Segments that are walked at a time: what a task holds doesn't grow with the batch.
+LOCKSTEP = 1024
 #: A document is rejected if its letters are fewer than this, or its best rate is above the limit.
 MIN_LETTERS = 1
 #: Limit of the best rate, as a multiple of the mean rate of uniformly random letters under the same automata.
@@ -118,12 +120,11 @@ class CrossParser:
         """(phrases[document, language], letters[document]) of the documents data[offsets[i]:offsets[i + 1]]."""
         n = len(offsets) - 1
         counts = np.zeros((n, len(self.roots)), dtype=np.int64)
-        sums = np.concatenate([[0], np.cumsum(_LETTER[data])])
-        letters = sums[offsets[1:]] - sums[offsets[:-1]]
-        if not len(data):
-            return counts, letters
-        kinds = self.kind[fold(data)]
         sizes = np.diff(offsets)
+        if not len(data):
+            return counts, np.zeros(n, dtype=np.int64)
+        letters = np.add.reduceat(np.append(_LETTER[data], False), offsets[:-1], dtype=np.int64) * (sizes > 0)
+        folded = fold(data)
         parts = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(n), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -131,21 +132,26 @@ class CrossParser:
         size = np.minimum(SEGMENT, offsets[owner + 1] - start)
         order = np.argsort(-size, kind="stable")
         start, size, owner = start[order], size[order], owner[order]
-        live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")  # segments longer than t
         roots = np.array(self.roots, dtype=np.int32)[:, None]
-        state = np.zeros((len(roots), len(start)), dtype=np.int32)  # no way leads on from state 0: the next byte begins a phrase
-        begun = np.zeros((len(roots), len(start)), dtype=np.int32)
         step = self.step
-        for t in range(int(size[0])):
-            m = live[t]
-            c = kinds[start[:m] + t]
-            to = step.take(state[:, :m] + c)
-            fail = to == 0
-            # a phrase begins with this byte; if the text doesn't have it, it is a phrase itself
-            begun[:, :m] += fail
-            state[:, :m] = np.where(fail, step.take(roots + c), to)
-        for j in range(len(roots)):
-            counts[:, j] = np.bincount(owner, weights=begun[j], minlength=n).astype(np.int64)
+        for low in range(0, len(start), LOCKSTEP):
+            begin, long = start[low : low + LOCKSTEP], size[low : low + LOCKSTEP]
+            # symbols of the group's segments, one row for each place, so that a step reads one stretch of memory
+            at = begin[None, :] + np.arange(long[0])[:, None]
+            kinds = self.kind.take(folded.take(at, mode="clip"))
+            live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")  # segments longer than t
+            state = np.zeros((len(roots), len(begin)), dtype=np.int32)  # no way leads on from state 0: the next byte begins a phrase
+            begun = np.zeros((len(roots), len(begin)), dtype=np.int32)
+            for t in range(int(long[0])):
+                m = live[t]
+                c = kinds[t, :m]
+                to = step.take(state[:, :m] + c)
+                fail = to == 0
+                # a phrase begins with this byte; if the text doesn't have it, it is a phrase itself
+                begun[:, :m] += fail
+                state[:, :m] = np.where(fail, step.take(roots + c), to)
+            for j in range(len(roots)):
+                counts[:, j] += np.bincount(owner[low : low + LOCKSTEP], weights=begun[j], minlength=n).astype(np.int64)
         return counts, letters
 
     @staticmethod
