@@ -22,10 +22,14 @@ SAMPLE_BYTES = 24_000
 SEGMENT = 2048
 #: Segments that are walked at a time: what a task holds doesn't grow with the batch.
 LOCKSTEP = 1024
-#: A document is rejected if its letters are fewer than this, or its best rate is above the limit.
+#: A document is rejected if its letters are fewer than this, or its phrases more than the limit.
 MIN_LETTERS = 1
-#: Limit of the best rate, as a multiple of the mean rate of uniformly random letters under the same automata.
+#: Limit of the phrases, as a multiple of the mean of uniformly random letters of the same length under the same automata.
 REJECT = 0.9
+#: Phrases that are allowed besides: the end of a text cuts its last phrase short.
+CUT = 1
+#: Lengths at which random letters are parsed. Between them phrases are interpolated; beyond, they grow with the length.
+LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, SEGMENT])
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
@@ -106,15 +110,21 @@ class CrossParser:
             self.roots.append(base * width)
             base += len(nexts)
         self.step = np.concatenate(tables)
-        self.limit = REJECT * self._random_rate()
+        self.random = self._random_phrases()
 
-    def _random_rate(self) -> float:
-        """Best rate, on average, of texts of letters drawn uniformly, words of five: what no language looks like."""
+    def _random_phrases(self) -> np.ndarray:
+        """Fewest phrases, on average, of texts of letters drawn uniformly, words of five: what no language looks like. One figure for each of LENGTHS."""
         rng = np.random.default_rng(5)
-        data = rng.integers(97, 123, 60_000).astype(np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(np.repeat(LENGTHS, 100))])
+        data = rng.integers(97, 123, offsets[-1]).astype(np.uint8)
         data[::6] = 32
-        counts, _ = self.phrases(data, np.arange(0, len(data) + 1, 600))
-        return float(np.mean(self.rates(counts, np.full(100, 600)).min(axis=1)))
+        counts, _ = self.phrases(data, offsets)
+        return counts.min(axis=1).reshape(len(LENGTHS), 100).mean(axis=1)
+
+    def limits(self, sizes: np.ndarray) -> np.ndarray:
+        """Most phrases that documents of these sizes may have."""
+        expected = np.interp(sizes, LENGTHS, self.random) * np.maximum(1, sizes / SEGMENT)
+        return REJECT * expected + CUT
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases[document, language], letters[document]) of the documents data[offsets[i]:offsets[i + 1]]."""
@@ -167,8 +177,8 @@ class CrossParser:
         best = rate.argmin(axis=1)  # of equals the first by name
         least = rate[np.arange(len(best)), best]
         second = np.partition(rate, 1, axis=1)[:, 1] if rate.shape[1] > 1 else least
-        # short texts have no more phrases than bytes whatever they are: judged by letters alone
-        known = (letters >= MIN_LETTERS) & ((least <= self.limit) | (sizes < 200))
+        # phrases a byte don't fall with the length, so they are held to random letters of the same length, not to the rate
+        known = (letters >= MIN_LETTERS) & (counts.min(axis=1) <= self.limits(sizes))
         return [self.languages[b] if ok else None for b, ok in zip(best, known)], least, second - least
 
 
@@ -231,7 +241,7 @@ def identify_language(docs: DataFrame, parser: CrossParser | None = None, id_col
 
     label is the row's own language column, identified the language found, bits its phrases normalised, margin by
     how much the runner-up is worse. identified, bits and margin are null where the document is rejected: null and
-    empty texts, texts of under MIN_LETTERS letters, and longer texts that parse hardly better than random letters.
+    empty texts, texts of under MIN_LETTERS letters, and texts that parse hardly better than random letters of the same length.
     Of languages that tie the first by name wins. A null label takes no part in fitting. Repeated rows get the same
     answer each. Without labelled rows all are rejected. An empty table gives an empty result.
     """

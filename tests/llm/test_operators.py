@@ -539,6 +539,22 @@ def test_language_id_accuracy_and_rejections(spark, sf):
     assert langid.keep_identified(rows, fit).count() == 1
 
 
+def test_rejection_does_not_depend_on_length():
+    rng = np.random.default_rng(4)
+    letters = np.array(list("etaoinshrdlcumwfgypbvkxjqz"))
+    often = 1 / np.arange(2, 28)
+    words = ["".join(rng.choice(letters, rng.integers(2, 10), p=often / often.sum())) for _ in range(8000)]
+    zipf = 1 / np.arange(10, 8010)
+    def clean(n):
+        return " ".join(rng.choice(words, n // 5, p=zipf / zipf.sum()))[:n].encode()
+    p = langid.CrossParser({"x": clean(24_000), "y": prose(1, 4000).encode()})
+    good = [clean(n) for n in (60, 100, 200, 1000, 100_000, 6_000_000)]
+    junk = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz "), n)).encode() for n in (100, 150, 199, 200, 300, 400, 3000, 100_000)]
+    docs = good + junk
+    found = p.identify(np.frombuffer(b"".join(docs), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))[0]
+    assert found == ["x"] * len(good) + [None] * len(junk)
+
+
 def test_sha_of_finding(spark):
     text = 'x token = "0123456789abcdef0123"'
     r = secret_scan.secret_scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
