@@ -17,6 +17,8 @@ _IPV4 = re.compile(r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[
 _PHONE = re.compile(r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])")
 _PHONE_INTL = re.compile(r"\+[1-9][0-9]{0,2}(?:[ .\-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])")
 _CARD = re.compile(r"(?<![0-9])[2-6][0-9]{3}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}(?![0-9])")
+#: Numbers that issuers give out, by their first digits and length; where proposals overlap, these go before others.
+_ISSUED = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|220[0-4][0-9]{12,15}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35[2-8][0-9]{13,16}|(?:5[06-8]|6[0-9])[0-9]{11,17}")
 _SSN = re.compile(r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
@@ -79,6 +81,22 @@ def _iban(text: str) -> Iterator[tuple[int, int]]:
             b -= 1
 
 
+def _cards(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Spans in text[low:high] that pass Luhn, from every group of digits on: a year or a house number before a card
+    may look like its first group. Spans may overlap, but not with one whose number is an issuer's if theirs isn't."""
+    passed, m = [], _CARD.search(text, low, high)
+    while m:
+        digits = re.sub("[ -]", "", m.group())
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            passed.append((*m.span(), bool(_ISSUED.fullmatch(digits))))
+        m = _CARD.search(text, m.start() + 1, high)
+    for i, (a, b, issued) in enumerate(passed):
+        # a span is 22 characters at most and begins a group, so few are near enough to overlap
+        near = passed[max(0, i - 11) : i + 12]
+        if issued or not any(other and x < b and a < y for x, y, other in near):
+            yield a, b
+
+
 def spans(text: str) -> list[tuple[str, int, int, bool | None, float]]:
     """(kind, start, end, checksum passed or None, score) in code points, by start; spans don't overlap."""
     found: list[tuple[str, int, int, bool | None]] = [("email", a, b, None) for a, b in _emails(text)]
@@ -87,10 +105,7 @@ def spans(text: str) -> list[tuple[str, int, int, bool | None, float]]:
         a, b = region.span()
         if b - a < 7:
             continue
-        for m in _CARD.finditer(text, a, b):
-            digits = re.sub("[ -]", "", m.group())
-            if 13 <= len(digits) <= 19 and luhn(digits):
-                found.append(("card", *m.span(), True))
+        found += [("card", *x, True) for x in _cards(text, a, b)]
         found += [("ssn", *m.span(), None) for m in _SSN.finditer(text, a, b)]
         found += [("ipv4", *m.span(), None) for m in _IPV4.finditer(text, a, b)]
         found += [("phone", *m.span(), None) for m in _PHONE.finditer(text, a, b)]
@@ -115,8 +130,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Narrow: no shuffle, Arrow batches. Cards and IBANs that fail their checksum are no findings; kinds without a
     checksum have checksum_ok null. Null and empty texts give no rows; a null id is carried; repeated rows give
-    their findings once each; of spans that overlap the one that starts first counts, then the longest; other
-    columns are not read. Texts of any length are searched whole. An empty table gives an empty result.
+    their findings once each; of spans that overlap the one that starts first counts, then the longest, but a card
+    number that no issuer gives out yields to one of an issuer; other columns are not read. Texts of any length are searched whole. An empty table gives an empty result.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -306,6 +306,25 @@ def test_pii_cases(text, want):
     assert [(k, text[a:b]) for k, a, b, _, _ in pii.spans(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, cards",
+    [
+        ("2024 4111 1111 1111 1111", ["4111 1111 1111 1111"]), ("2023 378282246310005", ["378282246310005"]), ("2025-378282246310005", ["378282246310005"]), ("415-555-2671 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("2024 4222222222222", ["4222222222222"]), ("in 2023 30569309025904", ["30569309025904"]), ("3021 2024 3782 822463 10005", ["3782 822463 10005"]), ("2022 4111-1111-1111-1111 2025", ["4111-1111-1111-1111"]),
+        ("4111 1111 1111 1112 5500 0000 0000 0004 4111 1111 1111 1111", ["5500 0000 0000 0004", "4111 1111 1111 1111"]), ("2024 4111 1111 1111 1112", []), ("2000 0000 0000 0006", ["2000 0000 0000 0006"]),
+    ],
+)
+def test_pii_cards_behind_other_numbers(text, cards):
+    assert [text[a:b] for k, a, b, _, _ in pii.spans(text) if k == "card"] == cards
+
+
+def test_pii_cards_behind_any_year():
+    for card in ("4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "4222222222222", "6011 0009 9013 9424", "30569309025904"):
+        for year in range(2000, 2100):
+            text = f"{year} {card}"
+            assert [text[a:b] for k, a, b, _, _ in pii.spans(text)] == [card]
+
+
 def test_pii_context_moves_scores_and_checksums_confirm():
     near, far = pii.spans("my credit card 4111111111111111")[0], pii.spans("4111111111111111")[0]
     assert near[4] > far[4] and far[3] is True
