@@ -3,7 +3,7 @@
 Rule regexes are parsed, turned into byte NFAs, combined, made deterministic by subset construction and
 minimised into one transition array. A document is scanned once, byte by byte, for all rules together. Where
 the combined automaton accepts, small per-rule automata give the span: the reversed one walks back to the
-leftmost start, the forward one on to the longest end.
+leftmost start, the forward one on to the longest end. Of some rules it has a part only (HEADS).
 
 Rule syntax: literals, escapes, classes, (?:...) groups, |, ?, *, +, {m}, {m,n}, {m,}, a leading (?i), and \\b
 as the first or last item. All of it means what it means in RE2 over UTF-8 (ASCII classes).
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 
 #: Published token formats. Bodies are bounded below only where an upper bound would multiply states.
 RULES: dict[str, str] = {
-    "assigned_secret": r"""(?i)\b(?:token|secret|passwd|password|api_?key|access_?key)["']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}["'][0-9a-z_]{16,}["']""",
+    "assigned_secret": r"""(?i)\b[0-9a-z_]*(?:token|secret|passwd|password|api_?key|access_?key)["']?[ \t]{0,3}(?:=|:|=>)[ \t]{0,3}["'][0-9a-z_+/=.\-]{16,}["']""",
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
     "slack_token": r"\bxox[abprs]-[0-9]{8,}-[0-9A-Za-z\-]+",
-    "google_api_key": r"\bAIza[0-9A-Za-z_]{35}\b",
+    "google_api_key": r"\bAIza[0-9A-Za-z_\-]{35}",
     "npm_token": r"\bnpm_[0-9A-Za-z]{36}\b",
     "stripe_key": r"\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "json_web_token": r"\beyJ[0-9A-Za-z_]{10,}\.eyJ[0-9A-Za-z_\-]+\.[0-9A-Za-z_\-]+",
@@ -33,6 +33,13 @@ RULES: dict[str, str] = {
     "url_password": r"\b(?:postgres|postgresql|mysql|mongodb|redis|amqp|https?)://[0-9A-Za-z_]+:[0-9A-Za-z_!$%&*+.\-]+@",
 }
 
+#: Beginnings of rules whose bodies hold bytes at which other rules begin, and how the beginnings end: in the combined
+#: automaton the states of such rules would multiply. It looks for the end, and the rule's own automata do the rest.
+HEADS: dict[str, tuple[str, str]] = {
+    "assigned_secret": (RULES["assigned_secret"].removesuffix(r"""[0-9a-z_+/=.\-]{16,}["']"""), r"""[=:>][ \t]{0,3}["']"""),
+    "google_api_key": (r"\bAIza", r"\bAIza"),
+}
+
 _WORD = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
 _NONWORD = frozenset(range(256)) - _WORD
 _EDGE = 0xFF  # never occurs in UTF-8; stands before and after each text
@@ -41,6 +48,7 @@ _CLASS = {
     "d": frozenset(b"0123456789"), "w": _WORD, "s": frozenset(b" \t\n\r\f"),
     "D": _ANY - frozenset(b"0123456789"), "W": _ANY - _WORD, "S": _ANY - frozenset(b" \t\n\r\f"),
 }
+_PIECE = 256  # bytes that are read at a time around a hit
 _CTRL = {"n": 10, "t": 9, "r": 13, "f": 12}
 
 
@@ -273,16 +281,18 @@ class Dfa:
                 found.append((i, s))
         return [(i, self.accepts[s // self.width]) for i, s in found]
 
-    def furthest(self, data: bytes) -> int:
-        """Length of the longest prefix of data that is accepted, -1 if none is."""
+    def furthest(self, pieces: Iterator[bytes]) -> int:
+        """Length of the longest prefix of the pieces together that is accepted, -1 if none is."""
         step, s, best = self.step, self.start, 0 if self.start >= self.accepting else -1
-        dead = self._dead
-        for i, c in enumerate(data.translate(self.kind)):
-            s = step[s + c]
-            if s >= self.accepting:
-                best = i + 1
-            elif s == dead:
-                break
+        dead, n = self._dead, 0
+        for piece in pieces:
+            for i, c in enumerate(piece.translate(self.kind), n + 1):
+                s = step[s + c]
+                if s >= self.accepting:
+                    best = i
+                elif s == dead:
+                    return best
+            n += len(piece)
         return best
 
     @property
@@ -291,6 +301,18 @@ class Dfa:
         return next((i * w for i in range(self.states) if i * w < self.accepting and all(t == i * w for t in self.step[i * w : i * w + w])), -1)
 
 
+def _onwards(data: bytes, low: int) -> Iterator[bytes]:
+    """data[low:] in pieces."""
+    for i in range(low, len(data), _PIECE):
+        yield data[i : i + _PIECE]
+
+
+def _backwards(data: bytes, low: int, high: int) -> Iterator[bytes]:
+    """data[low:high] in pieces from its end, each reversed."""
+    for i in range(high, low, -_PIECE):
+        yield data[max(low, i - _PIECE) : i][::-1]
+
+
 class Scanner:
     def __init__(self, rules: dict[str, str]):
         self.names = list(rules)
@@ -298,13 +320,18 @@ class Scanner:
         edge = ("set", _NONWORD)
         self.lead, self.trail = [p[0] for p in parts], [p[2] for p in parts]
         full = [("cat", *([edge] if lead else []), body, *([edge] if trail else [])) for lead, body, trail in parts]
-        self.all = Dfa(full, search=True)
+        heads, ends = list(full), list(full)
+        for i, (n, p) in enumerate(rules.items()):
+            if p == RULES.get(n) and n in HEADS:
+                heads[i], ends[i] = (("cat", *([edge] if lead else []), body) for lead, body, _ in map(_body, HEADS[n]))
+        self.all = Dfa(ends, search=True)
         self.forward = [Dfa([t], search=False) for t in full]
-        self.backward = [Dfa([_reverse(t)], search=False) for t in full]
+        self.backward = [Dfa([_reverse(t)], search=False) for t in heads]
 
     def scan(self, text: bytes) -> list[tuple[str, int, int]]:
         """(rule, start, end) byte spans. Of a rule's matches the one that ends first counts, back to its leftmost
-        start and on to its longest end; the next one may not overlap it."""
+        start and on to its longest end; the next one may not overlap it. A rule in HEADS is tried
+        wherever its beginning ends."""
         data = b"\xff" + text + b"\xff"
         out, free = [], [0] * len(self.names)
         for last, mask in self.all.hits(data):
@@ -312,11 +339,14 @@ class Scanner:
                 if not mask >> r & 1 or last < free[r]:
                     continue
                 low = max(0, free[r] - 1) if self.lead[r] else free[r]
-                back = self.backward[r].furthest(data[low : last + 1][::-1])
+                back = self.backward[r].furthest(_backwards(data, low, last + 1))
                 if back < 0:
                     continue
                 begin = last + 1 - back
-                end = begin + self.forward[r].furthest(data[begin:])
+                ahead = self.forward[r].furthest(_onwards(data, begin))
+                if ahead < 0:
+                    continue  # a beginning without the rest
+                end = begin + ahead
                 body = (begin + self.lead[r], end - self.trail[r])
                 out.append((self.names[r], body[0] - 1, body[1] - 1))
                 free[r] = body[1]

@@ -93,6 +93,31 @@ def test_secret_scan_finds_each_rule_where_re_does():
         assert sorted((a, b, n) for n, a, b in scanner.scan(text)) == want, text
 
 
+def test_secret_scan_takes_published_forms():
+    scanner = secret_scan.Scanner(secret_scan.RULES)
+    value = "wJalrXUtnFEMI/K7MDENG+bPxRfi.CY-EXAMPLE="
+    found = [f"{name} = '{value}'" for name in ("client_secret", "auth_token", "DB_PASSWORD", "aws_secret_access_key", "MY_API_KEY", "token", "secret_token_password")]
+    keys = ["AIza" + k for k in ("a-" * 17 + "b", "-" * 35, "x_-9Q" * 7, "AIza-" * 7)]
+    for s in found:
+        assert scanner.scan(f"set {s};".encode()) == [("assigned_secret", 4, 4 + len(s))], s
+    for s in keys:
+        assert ("google_api_key", 4, 43) in scanner.scan(f"url={s} end".encode()), s
+    for s in ("client_secret = 'short-value'", "AIza" + "a-" * 17, "xAIza" + "a" * 35, f"secrets = '{value}'"):
+        assert scanner.scan(s.encode()) == [], s
+
+
+def test_secret_scan_of_wide_rules_is_where_re_is_and_linear():
+    scanner = secret_scan.Scanner(secret_scan.RULES)
+    rng = np.random.default_rng(8)
+    rules = {n: re.compile(p.encode()) for n, p in secret_scan.RULES.items()}
+    pieces = [*SECRETS.values(), "client_secret='", "DB_PASSWORD: \"", "token", "_", "-", "=", "'", '"', " ", "AIza", "AIza" + "b-" * 17, "a-+/.=" * 3, "q" * 16, "\u00e9"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces, rng.integers(1, 12))).encode()
+        want = sorted((m.start(), m.end(), n) for n, p in rules.items() for m in p.finditer(text))
+        assert sorted((a, b, n) for n, a, b in scanner.scan(text)) == want, text
+    assert len(scanner.scan(b"my_token='abcdefgh-ijklmnop' -AIza" * 20_000)) == 20_000
+
+
 def test_secret_automaton_is_minimal_and_runs_are_linear():
     d = secret_scan.Dfa([secret_scan._body("(?:ab|cb)*x")[1]], search=False)
     assert d.states == 4  # start, after a or c, done, dead
