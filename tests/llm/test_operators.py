@@ -396,6 +396,23 @@ def test_shingles_and_half_keys_against_sets():
     assert (k2[0] == k2[1]).all()  # the same set of shingles
 
 
+def test_near_keys_recall_by_similarity():
+    rng = np.random.default_rng(12)
+    for low, high in [(0.6, 0.61), (0.61, 0.65), (0.65, 0.7), (0.6, 0.7), (0.7, 0.8), (0.8, 1.0)]:
+        met, n = 0, 3000
+        for at in range(0, n, 100):
+            hashes, ends = [], [0]
+            for s in rng.uniform(low, high, 100):
+                both = round(240 * s)
+                own = (240 - both) // 2
+                x = rng.integers(0, 1 << 63, both + 2 * own).astype(np.uint64)
+                hashes += [x[: both + own], np.concatenate([x[:both], x[both + own :]])]
+                ends += [ends[-1] + both + own, ends[-1] + 2 * (both + own)]
+            same = (lambda k: k[::2] == k[1::2])(minhash.half_keys(np.concatenate(hashes), np.array(ends)))
+            met += int((same[:, : minhash.M].any(axis=1) & same[:, minhash.M :].any(axis=1)).sum())
+        assert met >= 0.9 * n, (low, high, met / n)
+
+
 def test_near_groups_recall_and_components(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
