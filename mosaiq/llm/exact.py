@@ -33,6 +33,18 @@ def _address(text_col: str) -> list[Column]:
     return [F.octet_length(text_col).cast("bigint").alias("mq_len"), F.xxhash64(text_col).alias("mq_hash")]
 
 
+_TIMES = 1 << 16
+
+
+def each_time(rows: DataFrame, times: str, first: str) -> DataFrame:
+    """Each row as many times as its column times says; first: whether it is the row's first time. No array that is
+    made on the way is longer than 65,536, for up to 2^32 times."""
+    n = F.col(times)
+    many = rows.withColumn("mq_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / _TIMES).cast("bigint"))))
+    size = F.least(F.lit(_TIMES).cast("bigint"), n - F.col("mq_b") * _TIMES)
+    return many.withColumn("mq_i", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).withColumn(first, (F.col("mq_b") == 0) & (F.col("mq_i") == 1)).drop("mq_b", "mq_i")
+
+
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(mq_id, mq_len, mq_hash, mq_rows, mq_blocks, mq_name) for each distinct id and non-null text.
 
