@@ -35,8 +35,7 @@ class ChunkingConfig:
 @dataclass
 class EmbeddingConfig:
     model: str = "mock-embedder"
-    batch_size: int = 32
-    max_retries: int = 3
+    cache_path: str | None = None
 
 
 @dataclass

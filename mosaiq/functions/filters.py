@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 ALIASES = {"==": "=", "eq": "=", "neq": "!=", "ne": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "notin": "not in", "isnull": "is null", "isnotnull": "is not null"}
 _ORDER = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
 _TEXT = {"like": "like", "ilike": "ilike", "rlike": "rlike"}
-MAX_CONDITIONS = 8
 
 
 def normal_operator(op: str) -> str:
@@ -128,7 +127,7 @@ def parse_list(text: str) -> list[Any]:
 def conditions(rows: list[tuple[str, str, str]]) -> dict[str, Any] | None:
     """Clauses from (field, operator, value text) rows of a form; rows without field or needed value don't count."""
     out = []
-    for field, op, text in rows[:MAX_CONDITIONS]:
+    for field, op, text in rows:
         op = normal_operator(op)
         if not field or (op not in ("is null", "is not null") and not (text or "").strip()):
             continue

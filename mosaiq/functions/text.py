@@ -41,7 +41,8 @@ def clean_extras(c: Column, strip_urls: bool = False, strip_emails: bool = False
 
 
 def chunk_id(document: Column, index: Column, text: Column) -> Column:
-    return F.sha2(F.concat(document.cast("string"), F.lit(UNIT), index.cast("string"), F.lit(UNIT), text), 256)
+    """SHA-256 of document, index and text; a null document counts as one without a name."""
+    return F.sha2(F.concat(F.coalesce(document.cast("string"), F.lit("")), F.lit(UNIT), index.cast("string"), F.lit(UNIT), text), 256)
 
 
 def text_hash(c: Column) -> Column:
@@ -70,18 +71,20 @@ def py_str(c: Column, kind: T.DataType) -> Column:
     if not isinstance(kind, (T.DoubleType, T.FloatType)):
         return c.cast("string")
     d = c.cast("double")
-    plain, size = d.cast("string"), F.abs(d)
+    # the least number has a shorter spelling than the one that a cast gives
+    plain, size = F.replace(d.cast("string"), F.lit("4.9E-324"), F.lit("5.0E-324")), F.abs(d)
     mantissa = F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", "")
     exponent = F.substring_index(plain, "E", -1).cast("int")
     sign = F.when(exponent < 0, "-").otherwise("+")
-    science = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    two_digits = F.regexp_replace(F.abs(exponent).cast("string"), r"^(\d)$", "0$1")
+    science = F.concat(mantissa, F.lit("e"), sign, two_digits)
     point = F.regexp_replace(F.regexp_replace(F.when((size >= 1e-5) & (size < 1e16), d).cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
     return (
         F.when(F.isnan(d), "nan")
         .when(size == float("inf"), F.when(d > 0, "inf").otherwise("-inf"))
         .when((size == 0) | (size >= 1e-3) & (size < 1e7), plain)
         .when((size >= 1e-4) & (size < 1e16), point)
-        .otherwise(F.when(size >= 1e16, F.concat(mantissa, F.lit("e+"), F.lpad(exponent.cast("string"), 2, "0"))).otherwise(science))
+        .otherwise(science)
     )
 
 
@@ -99,6 +102,12 @@ def split_context(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n\n"), strip), lambda x: x != "")
 
 
+def int_or(c: Column, default: int | None = None) -> Column:
+    """c as a whole number; default where it is null or not a number."""
+    plain = F.when(~F.isnan(c.cast("double")), c).cast("bigint")
+    return plain if default is None else F.coalesce(plain, F.lit(default))
+
+
 def plain_context(texts: Column) -> Column:
     return F.array_join(texts, "\n\n")
 

@@ -8,12 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.text import normal_model
 from mosaiq.operators.checkpoint import exists
-from mosaiq.operators.models import with_retries
+from mosaiq.operators.models import passing, with_retries
 from mosaiq.operators.store import ChunkStore
 from mosaiq.session import written
 
@@ -44,33 +45,53 @@ def request_lines(chunks: DataFrame, model: str, extra: dict[str, Any] | None =
     return chunks.select(F.col(id_col).cast("string").alias("custom_id"), ascii_json(F.to_json(line, {"ignoreNullFields": "false"})).alias("value"))
 
 
-def assign_files(lines: DataFrame, order: list[str], max_lines: int, max_bytes: int | None = None, bytes_col: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], col: str) -> DataFrame:
+    """rows with col, their number from 0 in the order given, written. Each task counts its range; only the ranges' sizes,
+    one row each, are added up in one task."""
+    sorted_ = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("mq_i", F.monotonically_increasing_id()))
+    part = F.shiftright("mq_i", 33)
+    sizes = sorted_.groupBy(part.alias("mq_part")).agg(F.count(F.lit(1)).alias("mq_n"))
+    before = F.coalesce(F.sum("mq_n").over(Window.orderBy("mq_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(sizes.select("mq_part", before.alias("mq_before")))
+    joined = sorted_.withColumn("mq_part", part).join(starts, "mq_part")
+    return joined.withColumn(col, F.col("mq_before") + F.col("mq_i").bitwiseAND(F.lit((1 << 33) - 1))).drop("mq_i", "mq_part", "mq_before")
+
+
+def assign_files(lines: DataFrame, order: list[str], max_lines: int, max_bytes: int | None = None, bytes_col: str | None = None, ranges: bool = False) -> DataFrame:
     """lines with file_no. Lines alone: the ordinal over max_lines. With a byte cap, greedily: a file is closed when
     it has max_lines or the next line would pass max_bytes, also if it is empty, so numbers can be skipped.
 
-    The greedy rule depends on all lines before, so it is one ordered fold; only order and size go through it.
+    The greedy rule depends on all lines before, so it is one ordered fold; only order and size go through it. ranges:
+    each task folds a range of the order by itself and begins with a new file, which large tables need; there are as
+    many files more, at most, as ranges.
     """
-    ordinal = F.row_number().over(Window.orderBy(*order)) - 1
     if max_bytes is None:
-        return lines.withColumn("file_no", F.floor(ordinal / max_lines).cast("int"))
-    import pandas as pd
-
+        return numbered(lines, order, "mq_ordinal").withColumn("file_no", F.floor(F.col("mq_ordinal") / max_lines).cast("int")).drop("mq_ordinal")
     sizes = lines.select(*order, F.col(bytes_col).cast("bigint").alias("mq_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema if f.name != "mq_bytes") + ", file_no int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.schema if f.name != "mq_bytes") + ", mq_range int, mq_file int"
 
     def fold(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         used = count = number = 0
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for n in pdf["mq_bytes"]:
+            for n in batch.column("mq_bytes").to_pylist():
                 if count >= max_lines or used + n > max_bytes:
                     number, used, count = number + 1, 0, 0
                 used, count = used + n, count + 1
                 out.append(number)
-            yield pd.DataFrame({**{c: pdf[c] for c in order}, "file_no": out})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), pa.array([task] * len(out), pa.int32()), pa.array(out, pa.int32())], [*order, "mq_range", "mq_file"])
 
-    numbers = sizes.coalesce(1).sortWithinPartitions(*order).mapInPandas(fold, schema)
-    return lines.join(numbers, order)
+    spread = sizes.repartitionByRange(*order) if ranges else written(sizes).coalesce(1)  # sizes are made in as many tasks as there are
+    folded = written(spread.sortWithinPartitions(*order).mapInArrow(fold, schema))
+    if not ranges:
+        return lines.join(folded.select(*order, F.col("mq_file").alias("file_no")), order)
+    most = folded.groupBy("mq_range").agg((F.max("mq_file") + 1).alias("mq_n"))
+    before = F.coalesce(F.sum("mq_n").over(Window.orderBy("mq_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = most.select("mq_range", before.alias("mq_before"))
+    return lines.join(folded.join(starts, "mq_range").select(*order, (F.col("mq_file") + F.col("mq_before")).cast("int").alias("file_no")), order)
 
 
 def unique_in_file(lines: DataFrame, order: list[str], id_col: str = "custom_id") -> DataFrame:
@@ -141,10 +162,21 @@ class BatchState:
     poll_seconds: float = 20
     download_retries: int = 5
     extra_body: dict[str, Any] = field(default_factory=dict)
+    ranges: bool = False  # fold request files range by range
 
     def path(self, part: str) -> str:
         return f"{self.root.rstrip('/')}/{part}"
 
+    def to_json(self) -> str:
+        """Without fields whose names speak of keys."""
+        return json.dumps({k: v for k, v in vars(self).items() if "key" not in k}, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> BatchState:
+        told = json.loads(text)
+        known = {f for f in cls.__dataclass_fields__ if f in told}
+        return cls(**{f: told[f] for f in known})
+
 
 @dataclass
 class IngestionResult:
@@ -165,6 +197,17 @@ class BatchManager:
         self.spark, self.state, self.store, self.client, self.sleep, self.now = spark, state, store, client, sleep, now
         self._seq = 0
 
+    @classmethod
+    def from_state(cls, spark: SparkSession, root: str, client: BatchClient | None = None, store: ChunkStore | None = None, **options: Any) -> BatchManager:
+        """The manager of a root that another one has prepared, by the settings that were saved there."""
+        rows = spark.read.text(f"{root.rstrip('/')}/state").orderBy("value").collect()
+        state = BatchState.from_json(rows[0][0])
+        state.root = root
+        return cls(spark, state, store or ChunkStore(spark, state.path("store")), client, **options)
+
+    def save_state(self) -> None:
+        self.spark.createDataFrame([(self.state.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.state.path("state"))
+
     def registry(self) -> DataFrame | None:
         path = self.state.path("registry")
         return self.spark.read.parquet(path) if exists(self.spark, path) else None
@@ -183,6 +226,7 @@ class BatchManager:
 
     def prepare(self, chunks: DataFrame, order: list[str], skip_existing: bool = True, queue_limit: int | None = None, register_all: bool = False) -> int:
         """Write request files for chunks that are not in the store; the number of requests. order names columns of chunks."""
+        self.save_state()
         rows = chunks
         if skip_existing and self.store.exists():
             rows = rows.join(self.store.ids(), "chunk_id", "left_anti")
@@ -195,7 +239,7 @@ class BatchManager:
         lines = request_lines(queued, normal_model(self.state.model, self.state.provider), self.state.extra_body)
         lines = lines.join(queued.select(F.col("chunk_id").cast("string").alias("custom_id"), *[c for c in order if c != "chunk_id"]), "custom_id")
         keys = [c if c != "chunk_id" else "custom_id" for c in order]
-        filed = assign_files(lines.withColumn("mq_size", F.octet_length("value") + 1), keys, self.state.max_lines, self.state.max_bytes, "mq_size")
+        filed = assign_files(lines.withColumn("mq_size", F.octet_length("value") + 1), keys, self.state.max_lines, self.state.max_bytes, "mq_size", self.state.ranges)
         filed = written(filed)
         write_request_files(filed, self.state.path("requests"), keys)
         return filed.count()
@@ -211,8 +255,11 @@ class BatchManager:
         return [p for _, p in sorted(files)]
 
     def submit(self) -> list[str]:
-        out = []
+        """Upload the request files that no batch was made of yet and create their batches."""
+        out, sent = [], {r[0] for r in self.events().select("jsonl_path").distinct().collect()}
         for path in self.request_files():
+            if path in sent:
+                continue
             file_id = self.client.upload(path)
             info = self.client.create(file_id, self.state.completion_window)
             self._log(batch_id=info["id"], status=info.get("status"), input_file_id=file_id, jsonl_path=path, created_at=int(self.now()))
@@ -242,7 +289,7 @@ class BatchManager:
                 self._log(**event)
                 if info.get("status") in INGESTIBLE and info.get("output_file_id"):
                     try:
-                        path = with_retries(lambda i=info: self.client.download(i["output_file_id"], self.state.path("outputs")), self.state.download_retries, 5, 60, self.sleep)
+                        path = with_retries(lambda i=info: self.client.download(i["output_file_id"], self.state.path("outputs")), self.state.download_retries, 5, 60, self.sleep, passing)
                     except Exception as e:
                         if not continue_on_download_error:
                             raise DownloadError(str(e)) from e
@@ -270,7 +317,3 @@ class BatchManager:
             meta = [c for c in rows.columns if c not in core]
             self.store.add(rows.drop("created_at").withColumn("embedding_model", F.lit(self.state.model)), meta, ["document_id", "chunk_index"])
         return IngestionResult(batch_id, added, total - added)
-
-
-def state_json(state: BatchState) -> str:
-    return json.dumps({k: v for k, v in vars(state).items() if "key" not in k}, sort_keys=True)

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mosaiq.functions.text import py_str
 
@@ -80,15 +81,27 @@ def metadata_fields(df: DataFrame, json_col: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(json_col)).alias("field")).distinct().orderBy("field")
 
 
+def _json_value(c: Column, kind: T.DataType) -> Column:
+    """c for JSON: keys of objects in order, bytes as text, numbers that are not finite as null, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    if isinstance(kind, T.BinaryType):
+        return F.decode(c, "UTF-8")
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[_json_value(c[f.name], f.dataType).alias(f.name) for f in fields])) if fields else c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _json_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("key"), _json_value(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return c
+
+
 def metadata_json(df: DataFrame, fields: list[str]) -> Column:
-    """JSON of the fields, sorted by name, nulls kept, numbers that are not finite as null."""
-    cols = []
-    for f in sorted(fields):
-        c = df[f"`{f}`"]
-        if df.schema[f].dataType.simpleString() in ("double", "float"):
-            c = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
-        cols.append(c.alias(f))
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    """JSON of the fields, sorted by name at every depth, nulls kept, numbers that are not finite as null, bytes as text."""
+    cols = [_json_value(df[f"`{f}`"], df.schema[f].dataType).alias(f) for f in sorted(fields)]
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
 
 
 def metadata_kinds(df: DataFrame, fields: list[str]) -> list[tuple[str, str]]:

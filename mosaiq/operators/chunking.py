@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,6 @@ def clean_documents(docs: DataFrame, clean_fn: Callable[[Column], Column] | Call
         old = F.col("raw") if "raw" in docs.columns else F.lit(None).cast("string")
         docs = docs.withColumn("raw", F.when(F.coalesce(old, F.lit("")) == "", F.col(text_col)).otherwise(old))
     if python and clean_fn:
-        import pandas as pd
-
         fn = clean_fn
 
         @F.pandas_udf(T.StringType())
@@ -73,8 +72,6 @@ def custom_chunks(docs: DataFrame, chunk_fn: Callable[[str], list[str]] | Callab
     start_char is where the piece is found at or after the last piece's end less overlap, never below 0; where it
     isn't found, that origin itself.
     """
-    import pandas as pd
-
     meta = meta if meta is not None else [c for c in docs.columns if c not in (id_col, text_col, "raw", "source_path")]
     if python:
         fn = chunk_fn

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.functions.text import truncate
 from mosaiq.operators.checkpoint import iso
 
 _CHUNK = ["chunk_id", "document_id", "chunk_index", "start_char", "end_char"]
@@ -32,6 +33,12 @@ def flat_responses(responses: DataFrame, include_context: bool = True) -> DataFr
     )
 
 
+def preview(responses: DataFrame, width: int = 140) -> DataFrame:
+    """The cell's fields and the answer cut to width, as a table for display."""
+    fields = [c for c in responses.columns if c not in _CORE]
+    return responses.select(*fields, truncate(F.col("response_text"), width).alias("Response"))
+
+
 def response_lines(responses: DataFrame) -> DataFrame:
     """(value): a JSON object of twelve fields for each response, the cell and the ids nested."""
     fields = [c for c in responses.columns if c not in _CORE]

@@ -9,21 +9,50 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import text as X
+from mosaiq.operators.checkpoint import exists
 from mosaiq.session import written
 
 SECRETS = ("api_key", "authorization", "token", "password", "secret")
 
 
-def with_retries(call: Callable[[], Any], retries: int = 3, first: float = 1.0, most: float = 20.0, sleep: Callable[[float], None] = time.sleep) -> Any:
+_PASSING = ("timeout", "timed out", "time-out", "502", "503", "504", "server error", "connection reset")
+
+
+def status_of(error: BaseException) -> int | None:
+    """The HTTP status that an error of a client carries, on itself or on its response."""
+    for holder in (error, getattr(error, "response", None)):
+        try:
+            return int(getattr(holder, "status_code", None))
+        except (TypeError, ValueError):
+            continue
+    return None
+
+
+def may_pass(error: BaseException) -> bool:
+    """Whether a call may succeed if it is made again: not if the service has refused it (4xx but 408, 425 and 429)."""
+    status = status_of(error)
+    return status is None or status in (408, 425, 429) or status >= 500
+
+
+def passing(error: BaseException) -> bool:
+    """Whether an error is known to pass: a server's, a limit of time or calls, a broken connection."""
+    status = status_of(error)
+    if status is not None:
+        return may_pass(error)
+    return isinstance(error, (TimeoutError, ConnectionError)) or any(x in str(error).lower() for x in _PASSING)
+
+
+def with_retries(call: Callable[[], Any], retries: int = 3, first: float = 1.0, most: float = 20.0, sleep: Callable[[float], None] = time.sleep, again: Callable[[BaseException], bool] = may_pass) -> Any:
+    """call(), up to retries times more while again(error), waiting twice as long each time."""
     for n in range(retries + 1):
         try:
             return call()
-        except Exception:
-            if n == retries:
+        except Exception as e:
+            if n == retries or not again(e):
                 raise
             sleep(min(most, first * 2**n))
 
@@ -92,6 +121,9 @@ def embed_cached(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None,
     hashed = chunks.withColumn("text_hash", X.text_hash(F.col(text_col)))
     texts = hashed.select("text_hash", F.col(text_col).alias("text")).dropDuplicates(["text_hash"])
     known = cache.where(F.col("model") == embedder.model_name).select("text_hash", "vector").dropDuplicates(["text_hash"]) if cache is not None else None
+    if known is not None:
+        # only what these texts ask for, fixed before the cache grows
+        known = written(known.join(texts.select("text_hash"), "text_hash", "left_semi"))
     if known is not None:
         texts = texts.join(known, "text_hash", "left_anti")
     new = written(embedder.embed(texts, "text").select("text_hash", F.lit(embedder.model_name).alias("model"), "vector"))
@@ -106,6 +138,44 @@ def load_cache(lines: DataFrame, model: str) -> DataFrame:
     return lines.where(F.col("model") == model).groupBy("text_hash").agg(F.first("model").alias("model"), F.max_by("vector", "line_no").alias("vector"))
 
 
+class EmbeddingCache:
+    """An append-only folder of JSON lines {text_hash, model, vector}."""
+
+    SCHEMA = "text_hash string, model string, vector array<double>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def lines(self) -> DataFrame:
+        """The log with line_no, which orders lines: later appends after earlier ones."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], f"{self.SCHEMA}, line_no struct<a:timestamp,b:string,c:bigint>")
+        read = self.spark.read.schema(self.SCHEMA).json(self.path)
+        order = F.struct(F.col("_metadata.file_modification_time").alias("a"), F.col("_metadata.file_name").alias("b"), F.monotonically_increasing_id().alias("c"))
+        return read.withColumn("line_no", order)
+
+    def vectors(self, model: str) -> DataFrame:
+        return load_cache(self.lines(), model)
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select("text_hash", "model", "vector").write.mode("append").json(self.path)
+
+
+class CachedEmbedder(Embedder):
+    """An embedder whose vectors go through a cache: the model sees no text that the cache has, and each other one once."""
+
+    def __init__(self, embedder: Embedder, cache: EmbeddingCache):
+        self.embedder, self.cache, self.model_name = embedder, cache, embedder.model_name
+
+    def embed_texts(self, texts: list[str]) -> list[list[float]]:
+        return self.embedder.embed_texts(texts)
+
+    def embed(self, chunks: DataFrame, text_col: str = "text") -> DataFrame:
+        out, new = embed_cached(chunks, self.embedder, self.cache.vectors(self.model_name), text_col)
+        self.cache.append(new)
+        return out
+
+
 class Generator(ABC):
     model_name = "generator"
 
@@ -143,7 +213,7 @@ class MockGenerator(Generator):
 
     def generate(self, query_text: str, texts: list[str], instructions: str | None = None, model: str | None = None, **params: Any) -> str:
         if not query_text:
-            raise ValueError("query_text must be non-empty")
+            raise ValueError("a question is needed")
         note = f" Instructions: {instructions.strip()}" if instructions else ""
         return f"[MOCK RESPONSE] Query: {query_text}. Chunks: {len(texts)}. Snippet: {(texts[0][:120] if texts else '').replace(chr(10), ' ')}.{note}"
 
@@ -166,7 +236,7 @@ class ProviderGenerator(Generator):
 
     def generate(self, query_text: str, texts: list[str], instructions: str | None = None, model: str | None = None, **params: Any) -> str:
         if not query_text:
-            raise ValueError("query_text must be non-empty")
+            raise ValueError("a question is needed")
         used = {**self.default_params, **params}
         name = model or self.model_name
         got = with_retries(lambda: self.call(name, self.messages(query_text, texts, instructions), **used), self.retries, sleep=self.sleep)

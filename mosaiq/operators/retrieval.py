@@ -66,7 +66,7 @@ class Retriever:
     def retrieve(self, query_text: str, cell_filter: dict[str, Any] | None = None, k: int | None = None) -> DataFrame:
         k = self.default_k if k is None else k
         if not query_text:
-            raise ValueError("query_text must be non-empty")
+            raise ValueError("a question is needed")
         if k <= 0:
             raise ValueError("k must be positive")
         return similarity_search(self.store, self.embed_query(query_text), k, cell_filter, self.metric, self.order)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from mosaiq.functions import filters, vectors
 from mosaiq.functions import text as X
 from mosaiq.operators import batch, cells, checkpoint, chunking, compare, export, models, retrieval, store
-from mosaiq.session import shared_folder
+from mosaiq.session import shared_folder, written
 from mosaiq.sources import files
+from mosaiq.streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +97,16 @@ def clean_preserve_raw(s, d):
     return docs.select("doc_id", X.text_hash(F.col("raw")).alias("raw_hash"), X.text_hash(F.col("text")).alias("text_hash"))
 
 
+def _shout(text: str) -> str:
+    return text.upper().replace(" ", "_")
+
+
+@query("SELECT doc_id, sha256(replace(upper(regexp_replace(text, '[^ -~' || chr(10) || ']', '', 'g')), ' ', '_')) AS text_hash FROM documents WHERE lang = 'en'")
+def clean_custom_python(s, d):
+    docs = chunking.clean_documents(_t(s, d, "documents").where("lang = 'en'").withColumn("text", F.regexp_replace("text", "[^ -~\n]", "")), _shout, python=True)
+    return docs.select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
+
+
 @query("SELECT doc_id, sha256(text) AS text_hash FROM documents")
 def text_hash(s, d):
     return _t(s, d, "documents").select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
@@ -112,10 +123,23 @@ def html_escape(s, d):
     return _t(s, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped"))
 
 
-@query("""SELECT doc_id, len(list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: length(trim(x)) > 0))::INT AS n_parts FROM documents""")
+@query(f"""SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x, {_WHITE})), lambda x: x <> '') AS parts FROM documents""")
 def split_context(s, d):
     doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    return _t(s, d, "documents").select("doc_id", F.size(X.split_context(doubled)).alias("n_parts"))
+    return _t(s, d, "documents").select("doc_id", X.split_context(doubled).alias("parts"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN isnan(v) THEN NULL ELSE trunc(v)::BIGINT END, 0) AS whole, CASE WHEN isnan(v) THEN NULL ELSE trunc(v)::BIGINT END AS maybe FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN NULL ELSE value END AS v FROM events)")
+def whole_numbers(s, d):
+    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 != 1, F.col("value"))
+    rows = _t(s, d, "events").select("event_id", v.alias("v"))
+    return rows.select("event_id", X.int_or(F.col("v"), 0).alias("whole"), X.int_or(F.col("v")).alias("maybe"))
+
+
+@query("SELECT label, CASE WHEN starts_with(model, 'openai/') AND length(model) > 7 THEN substr(model, 8) ELSE model END AS model FROM (SELECT DISTINCT label, CASE WHEN label % 2 = 0 THEN 'openai/m' || label ELSE 'm' || label END AS model FROM embeddings)")
+def model_names(s, d):
+    told = _t(s, d, "embeddings").select("label").distinct().collect()  # labels of a classifier, a handful
+    return s.createDataFrame([(r[0], X.normal_model(f"openai/m{r[0]}" if r[0] % 2 == 0 else f"m{r[0]}", "openai")) for r in told], "label int, model string")
 
 
 @query(f"WITH {C} SELECT doc_id, chunk_index, text FROM C")
@@ -140,6 +164,31 @@ def chunk_sentences(s, d):
     return chunking.custom_chunks(docs, chunking.sentences, python=False, id_col="doc_id", meta=[]).select("doc_id", "chunk_index", "text")
 
 
+def _pairs(text: str) -> list[str]:
+    """Pieces of two lines."""
+    lines = text.split("\n")
+    return ["\n".join(lines[i : i + 2]) for i in range(0, len(lines), 2)]
+
+
+@query(f"""WITH S AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+P AS (SELECT doc_id, text, unnest(range(0, (len(l) + 1) // 2)) AS i, l FROM S), Q AS (SELECT doc_id, text, i::INT AS chunk_index, array_to_string(l[2 * i + 1 : 2 * i + 2], chr(10)) AS piece FROM P)
+SELECT doc_id, chunk_index, sha256(doc_id::VARCHAR || chr(31) || chunk_index::VARCHAR || chr(31) || piece) AS chunk_id, sha256(piece) AS text FROM Q WHERE text <> ''""")
+def chunk_custom_python(s, d):
+    got = chunking.custom_chunks(_t(s, d, "documents").select("doc_id", "text"), _pairs, overlap=0, id_col="doc_id", meta=[])
+    return got.select("doc_id", "chunk_index", "chunk_id", X.text_hash(F.col("text")).alias("text"))
+
+
+@query("""WITH RECURSIVE S AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+R(doc_id, i, starts, upto) AS (SELECT doc_id, 1, 0, length(l[1]) FROM S UNION ALL
+ SELECT doc_id, i + 1, a, a + length(l[i + 1]) FROM (SELECT R.doc_id, i, l, CASE WHEN instr(substr(text, greatest(upto - 100, 0) + 1), l[i + 1]) > 0 THEN greatest(upto - 100, 0) + instr(substr(text, greatest(upto - 100, 0) + 1), l[i + 1]) - 1 ELSE greatest(upto - 100, 0) END AS a
+ FROM R JOIN S ON R.doc_id = S.doc_id WHERE i < len(l)))
+SELECT doc_id, (i - 1)::INT AS chunk_index, starts::INT AS start_char, upto::INT AS end_char FROM R""")
+def chunk_origin(s, d):
+    """Where a custom chunker's pieces begin: looked for from the last piece's end less the overlap."""
+    got = chunking.custom_chunks(_t(s, d, "documents").select("doc_id", "text"), lambda c: F.split(c, "\n"), overlap=100, python=False, id_col="doc_id", meta=[])
+    return got.select("doc_id", "chunk_index", "start_char", "end_char")
+
+
 # ---- metadata ----
 
 
@@ -212,6 +261,16 @@ def metadata_json(s, d):
     return dl.select("doc_id", cells.metadata_json(dl, ["source", "lang", "toxic", "quality"]).alias("metadata_json"))
 
 
+@query("""SELECT event_id, '{"a":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE (event_id % 5)::VARCHAR || '.5' END || ',"bytes":"' || event_type || '","list":[' || event_id % 4 || ',null],"nested":{"k":"' || user_id || '","z":' || event_id % 2 || '}}' AS metadata_json FROM events""")
+def metadata_json_nested(s, d):
+    n = F.col("event_id")
+    rows = _t(s, d, "events").select(
+        "event_id", F.struct((n % 2).alias("z"), F.col("user_id").cast("string").alias("k")).alias("nested"), F.array(n % 4, F.lit(None).cast("bigint")).alias("list"), F.col("event_type").cast("binary").alias("bytes"),
+        F.when(n % 3 == 0, F.lit(float("nan"))).otherwise(n % 5 + 0.5).alias("a"),
+    )
+    return rows.select("event_id", cells.metadata_json(rows, ["nested", "list", "bytes", "a"]).alias("metadata_json"))
+
+
 @query("""SELECT field, CASE WHEN count(v) = 0 THEN 'string' WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'bool' WHEN bool_and(try_cast(v AS BIGINT) IS NOT NULL AND NOT contains(v, '.')) THEN 'int'
  WHEN bool_and(try_cast(v AS DOUBLE) IS NOT NULL) THEN 'float' ELSE 'string' END AS kind
 FROM (SELECT unnest(['event_type', 'k', 'user_id', 'value']) AS field, unnest([event_type, json_extract_string(props, '$.k'), user_id::VARCHAR, value::VARCHAR]) AS v FROM events) GROUP BY field""")
@@ -294,14 +353,44 @@ def filter_parse(s, d):
     return dl.where(filters.compile_filter(dl, spec)).select("doc_id")
 
 
+@query(f"WITH {DL} SELECT doc_id FROM DL WHERE lang IN ('en', 'de') AND n_chars >= 300 AND source LIKE 'src%' AND quality IS NOT NULL")
+def filter_as_sql(s, d):
+    """A filter's own SQL text, run by the engine."""
+    dl = _dl(s, d)
+    spec = filters.conditions([("lang", "in", "en, de"), ("n_chars", "gte", "300"), ("source", "like", "src%"), ("quality", "isnotnull", "")])
+    return dl.where(F.expr(filters.to_sql(spec))).select("doc_id")
+
+
+_MANY = [("n_chars", ">", str(10 * i)) for i in range(12)]
+
+
+@query(f"SELECT 'n_chars > ' || max(i * 10) AS last, count(*) AS n FROM range({len(_MANY)}) t(i)")
+def filter_summary(s, d):
+    """All conditions of a form take part, and its summary names them."""
+    told = filters.summary(filters.conditions(_MANY)).split(" AND ")
+    return s.createDataFrame([(told[-1], len(told))], "last string, n bigint")
+
+
 # ---- vectors ----
 
 
-@query("SELECT doc_id, " + ", ".join(f"round({VEC.format(dim=4, text='text')}[{i + 1}]::DOUBLE, 6) AS v{i}" for i in range(4)) + " FROM documents")
+_ROUND = "list_transform({}, lambda x: round(x::DOUBLE, 6))"
+
+
+@query(f"SELECT doc_id, {_ROUND.format(VEC.format(dim=DIM, text='text'))} AS vector FROM documents")
 def mock_embed(s, d):
-    v = X.hash_vector(F.col("text"), DIM)
-    rows = _t(s, d, "documents").select("doc_id", v.alias("v"))
-    return rows.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(4)])
+    return _t(s, d, "documents").select("doc_id", F.transform(X.hash_vector(F.col("text"), DIM), lambda x: F.round(x, 6)).alias("vector"))
+
+
+def _service(model: str, texts: list[str]) -> list[dict]:
+    """A provider that answers out of order."""
+    return [{"index": i, "embedding": X.hash_vector_of(t, DIM)} for i, t in reversed(list(enumerate(texts)))]
+
+
+@query(f"SELECT doc_id, {_ROUND.format(VEC.format(dim=DIM, text='text'))} AS vector, 'm' AS embedding_model FROM documents")
+def provider_embed(s, d):
+    got = models.ProviderEmbedder(_service, "m", batch_size=7).embed(_t(s, d, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), "embedding_model")
 
 
 def _vector0(s, d) -> list[float]:
@@ -358,17 +447,55 @@ def topk_per_cell(s, d):
     return top.select("label", "vec_id", F.col("rank").alias("rk"), F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {C} SELECT chunk_id, doc_id, chunk_index FROM C WHERE chunk_id = (SELECT min(chunk_id) FROM C)")
+def _store(s, d) -> store.ChunkStore:
+    """A store of all chunks, in two batches: the second adds and replaces."""
+    chunks = _ce(s, d).withColumn("document_id", F.col("doc_id").cast("string")).drop("doc_id")
+    kept = store.ChunkStore(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+    kept.add(chunks.where("lang <> 'fr'"), META, ["document_id", "chunk_index"])
+    kept.add(chunks.where("lang in ('fr', 'de')"), META, ["document_id", "chunk_index"])
+    return kept
+
+
+@query(f"WITH {C} SELECT chunk_id, doc_id::VARCHAR AS document_id, chunk_index FROM C WHERE chunk_id = (SELECT min(chunk_id) FROM C)")
 def get_chunk(s, d):
-    c = _c(s, d)
-    return c.where(F.col("chunk_id") == c.agg(F.min("chunk_id")).first()[0]).limit(1).select("chunk_id", "doc_id", "chunk_index")
+    kept = _store(s, d)
+    return kept.get_chunk(kept.read().agg(F.min("chunk_id")).first()[0]).select("chunk_id", "document_id", "chunk_index")
 
 
-@query(f"WITH {C} SELECT chunk_id, doc_id, chunk_index FROM C SEMI JOIN (SELECT DISTINCT doc_id, 0 AS chunk_index FROM labels) USING (doc_id, chunk_index)")
+@query(f"WITH {C} SELECT chunk_id, doc_id::VARCHAR AS document_id, chunk_index FROM C SEMI JOIN (SELECT DISTINCT doc_id, 0 AS chunk_index FROM labels) USING (doc_id, chunk_index)")
 def chunks_by_ids(s, d):
-    c = _c(s, d).select("chunk_id", "doc_id", "chunk_index")
-    ids = c.where("chunk_index = 0").join(_t(s, d, "labels"), "doc_id", "left_semi").select("chunk_id")
-    return c.join(ids, "chunk_id", "left_semi")
+    ids = _c(s, d).where("chunk_index = 0").join(_t(s, d, "labels"), "doc_id", "left_semi").select("chunk_id")
+    return _store(s, d).chunks_by_ids(ids).select("chunk_id", "document_id", "chunk_index")
+
+
+@query(f"WITH {C} SELECT count(*) AS n, count(DISTINCT chunk_id) AS n_ids FROM C")
+def store_count(s, d):
+    kept = _store(s, d)
+    return s.createDataFrame([(kept.count(), kept.ids().count())], "n bigint, n_ids bigint")
+
+
+@query("""SELECT field, list_sort(list_distinct(list(value))) AS values FROM
+ (SELECT unnest(['lang', 'source']) AS field, unnest([lang, source]) AS value FROM documents WHERE text <> '') GROUP BY field""")
+def store_metadata_values(s, d):
+    return _store(s, d).list_metadata_values(META)
+
+
+_SEARCH = f"""WITH {CE}, R AS (SELECT chunk_id, doc_id::VARCHAR AS doc, chunk_index, list_cosine_similarity(v::FLOAT[]::DOUBLE[], {_sql_vec(X.hash_vector_of(QUESTION, DIM))}) AS x FROM CE WHERE lang IN ('en', 'de'))
+SELECT chunk_id, round(x, 5) AS score FROM R ORDER BY x DESC, doc, chunk_index LIMIT {K}"""
+
+
+@query(_SEARCH)
+def store_search(s, d):
+    got = _store(s, d).search(X.hash_vector_of(QUESTION, DIM), K, {"lang": ["en", "de"]})
+    return got.select("chunk_id", F.round("score", 5).alias("score"))
+
+
+@query(_SEARCH.replace("v::FLOAT[]::DOUBLE[]", "v").replace("doc_id::VARCHAR AS doc", "doc_id AS doc"))
+def memory_store_search(s, d):
+    kept, rows = store.MemoryStore(), _ce(s, d)
+    for some in ("lang <> 'fr'", "lang in ('fr', 'de')"):  # what is added again replaces
+        kept.add(rows.where(some), META, _ORDER)
+    return kept.search(X.hash_vector_of(QUESTION, DIM), K, {"lang": ["en", "de"]}).select("chunk_id", F.round("score", 5).alias("score"))
 
 
 @query(f"""WITH {CE}, R AS (SELECT chunk_id, doc_id, chunk_index, list_cosine_similarity(v, {_sql_vec(X.hash_vector_of(QUESTION, DIM))}) AS x FROM CE WHERE lang = 'en')
@@ -458,9 +585,54 @@ def responses_flat(s, d):
     return export.flat_responses(_responses(s, d), include_context=False).drop("response_id", "timestamp")
 
 
-@query()
+@query(f"""WITH {_top_sql([QUESTION])}, A AS (SELECT lang, source, list(chunk_id ORDER BY rk) AS ids, {_AGG})
+SELECT 'response_id query_id query_text cell_id cell_filter retrieved_chunk_ids retrieved_context response_text model_name embedding_model_name timestamp metadata' AS keys, 'q1' AS query_id, {_sql_text(QUESTION)} AS query_text, cell_id,
+ '{{"lang":"' || lang || '","source":"' || source || '"}}' AS cell_filter, '["' || array_to_string(ids, '","') || '"]' AS ids, sha256(array_to_string(texts, chr(10) || chr(10))) AS context, {_MOCK} AS response_text, 'mock-generator' AS model_name, '' AS metadata FROM A""")
 def responses_json(s, d):
-    return export.response_lines(_responses(s, d))
+    """The lines of the JSON export, read again field by field; ids and times are made anew by each run."""
+    lines = export.response_lines(_responses(s, d))
+    field = {k: F.get_json_object("value", f"$.{k}") for k in ("query_id", "query_text", "cell_id", "cell_filter", "response_text", "model_name", "metadata")}
+    return lines.select(
+        F.array_join(F.json_object_keys("value"), " ").alias("keys"), *[v.alias(k) for k, v in field.items()], F.get_json_object("value", "$.retrieved_chunk_ids").alias("ids"),
+        F.sha2(F.get_json_object("value", "$.retrieved_context"), 256).alias("context"),
+    )
+
+
+@query(f"WITH {_top_sql([QUESTION])}, A AS (SELECT lang, source, {_AGG}), R AS (SELECT lang, source, {_MOCK} AS r FROM A) SELECT lang, source, CASE WHEN length(r) > 140 THEN substr(r, 1, 137) || '...' ELSE r END AS Response FROM R")
+def responses_preview(s, d):
+    return export.preview(_responses(s, d))
+
+
+class _Chat:
+    """A chat service's client, which answers with what it was told."""
+
+    def __call__(self, model: str, messages: list[dict], **params) -> dict:
+        told = "\n".join(m["content"] for m in messages[1:])
+        return {"choices": [{"message": {"content": f"{model}/{params.get('temperature')}/{len(told)}/{told[-30:]}"}}]}
+
+
+@query(f"""WITH {_top_sql([QUESTION])}, A AS (SELECT {_AGG}),
+B AS (SELECT cell_id, 'Context:' || chr(10) || array_to_string(list_transform(texts, lambda t, i: '[Chunk ' || i || ']' || chr(10) || t), chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || {_sql_text(QUESTION)} || chr(10) || chr(10) || 'Additional instructions: ' AS p FROM A),
+ASKED AS (SELECT * FROM (VALUES ('q1', 'Be brief.', 'm1', '0.5'), ('q2', 'Be long.', 'm1', '0.5'), ('q3', 'Be brief.', 'm1', '1'), ('q4', 'Be brief.', 'm2', '1')) t(query_id, i, m, temp))
+SELECT query_id, cell_id, m || '/' || temp || '/' || length(p || i) || '/' || right(p || i, 30) AS response_text, m AS model_name FROM B, ASKED""")
+def compare_providers(s, d):
+    """One question asked in four ways: instructions, model and parameters of each are its own."""
+    runner = compare.Runner(_ce(s, d), models.MockEmbedder(DIM), models.ProviderGenerator(_Chat(), "m0"), order=_ORDER)
+    asked = [("q1", "Be brief.", "m1", 0.5), ("q2", "Be long.", "m1", 0.5), ("q3", "Be brief.", "m1", 1), ("q4", "Be brief.", "m2", 1)]
+    specs = [compare.QuerySpec(QUESTION, META, i, K, note, m, {"temperature": t}) for i, note, m, t in asked]
+    return runner.run(specs).select("query_id", "cell_id", "response_text", "model_name")
+
+
+@query(f"""WITH {_top_sql([QUESTION], where="n_chars >= 400")}, A AS (SELECT lang, source, {_AGG}), F AS (SELECT DISTINCT lang, source, {_CELL} AS cell_id FROM C)
+SELECT cell_id, coalesce(n, 0)::INT AS n FROM F LEFT JOIN A USING (cell_id)""")
+def engine_compare(s, d):
+    """The facade from documents to answers, on a store, with a filter that leaves some cells empty."""
+    from mosaiq.engine import Engine
+
+    docs = _t(s, d, "documents").withColumn("document_id", F.col("doc_id").cast("bigint")).drop("doc_id")
+    e = Engine.from_documents(docs).chunk(SIZE, OVERLAP).embed(models.MockEmbedder(DIM)).index(f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+    e.compare(QUESTION, META, k=K, base={"n_chars": {"op": ">=", "value": 400}})
+    return e.responses.select("cell_id", F.size("retrieved_chunk_ids").alias("n"))
 
 
 @query(_FLAT)
@@ -468,9 +640,11 @@ def export_chunks_flat(s, d):
     return export.flat_chunks(_named(s, d), META)
 
 
-@query()
+@query(f"""WITH {C} SELECT chunk_id, sha256('{{"chunk_id":"' || chunk_id || '","document_id":' || doc_id || ',"chunk_index":' || chunk_index || ',"start_char":' || chunk_index * {SIZE - OVERLAP} || ',"end_char":' || (chunk_index * {SIZE - OVERLAP} + length(text))
+ || ',"text":' || to_json(text)::VARCHAR || ',"metadata":{{"lang":"' || lang || '","source":"' || source || '"}}}}') AS line FROM C""")
 def export_chunks_json(s, d):
-    return export.chunk_lines(_c(s, d).withColumnRenamed("doc_id", "document_id"), META)
+    lines = export.chunk_lines(_c(s, d).withColumnRenamed("doc_id", "document_id"), META)
+    return lines.select(F.get_json_object("value", "$.chunk_id").alias("chunk_id"), F.sha2("value", 256).alias("line"))
 
 
 @query(f"WITH {_top_sql([QUESTION])}, A AS (SELECT {_AGG}) SELECT 'q1' AS query_id, cell_id, n::INT AS n, {_MOCK} AS response_text FROM A")
@@ -493,11 +667,11 @@ def resume_anti(s, d):
 # ---- store and batch ----
 
 
-@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id, lang, list_transform(embedding, lambda x: round(x::DOUBLE, 5)) AS vector FROM documents JOIN embeddings ON doc_id = vec_id")
 def index_join(s, d):
-    vectors_ = _t(s, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.array(F.col("quality").cast("double")).alias("vector"), F.lit("m").alias("embedding_model"))
+    vectors_ = _t(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.lit("m").alias("embedding_model"))
     rows = store.index_rows(_t(s, d, "documents").withColumnRenamed("doc_id", "chunk_id"), vectors_)
-    return rows.select(F.col("chunk_id").alias("doc_id"), "lang", F.col("vector")[0].cast("int").alias("quality"))
+    return rows.select(F.col("chunk_id").alias("doc_id"), "lang", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -517,24 +691,39 @@ def store_append_align(s, d):
     return old.unionByName(store.align(new, old))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND n_chars > 800")
+@query(f"WITH {C} SELECT chunk_id FROM C WHERE lang IN ('fr', 'de') AND source = 'src3' AND chunk_index > 1")
 def store_scan_filtered(s, d):
-    docs = _t(s, d, "documents")
-    return docs.where(filters.compile_filter(docs, {"lang": "fr", "n_chars": {"op": ">", "value": 800}})).select("doc_id")
+    return _store(s, d).scan({"lang": ["fr", "de"], "source": "src3", "chunk_index": {"op": ">", "value": 1}}).select("chunk_id")
 
 
-@query("WITH K AS (SELECT DISTINCT sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id)) SELECT doc_id, sha256(text) IN (SELECT h FROM K) AS hit FROM documents")
+@query(f"""WITH K AS (SELECT DISTINCT sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id))
+SELECT doc_id, {_ROUND.format(VEC.format(dim=DIM, text='text'))} AS vector, sha256(text) IN (SELECT h FROM K) AS hit FROM documents""")
 def embedding_cache_lookup(s, d):
-    docs = _t(s, d, "documents")
-    told = docs.join(_t(s, d, "labels"), "doc_id", "left_semi").select(X.text_hash(F.col("text")).alias("text_hash"), F.lit("mock-embedder").alias("model"), X.hash_vector(F.col("text"), DIM).alias("vector"), F.col("doc_id").alias("line_no"))
-    cache = models.load_cache(told, "mock-embedder").select("text_hash", "vector")
-    hashed = docs.select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
-    return hashed.join(cache, "text_hash", "left").select("doc_id", F.col("vector").isNotNull().alias("hit"))
+    """Labelled documents fill a cache; then all documents go through it."""
+    docs, cache = _t(s, d, "documents").select("doc_id", "text"), models.EmbeddingCache(s, f"{shared_folder(s)}/cache-{uuid.uuid4().hex}")
+    model = models.CachedEmbedder(models.ProviderEmbedder(_service, "m"), cache)
+    model.embed(docs.join(_t(s, d, "labels"), "doc_id", "left_semi"))
+    had = written(cache.vectors("m").select("text_hash", F.lit(True).alias("had")))
+    got = model.embed(docs).withColumn("text_hash", X.text_hash(F.col("text"))).join(had, "text_hash", "left")
+    return got.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), F.coalesce("had", F.lit(False)).alias("hit"))
+
+
+@query("SELECT count(DISTINCT sha256(text)) AS n, count(DISTINCT sha256(text)) AS n_hashes FROM documents")
+def embedding_cache_log(s, d):
+    """What two passes leave in a cache: a line for each distinct text."""
+    docs, cache = _t(s, d, "documents").select("doc_id", "text"), models.EmbeddingCache(s, f"{shared_folder(s)}/cache-{uuid.uuid4().hex}")
+    model = models.CachedEmbedder(models.MockEmbedder(DIM), cache)
+    model.embed(docs.where("doc_id % 3 = 0"))
+    model.embed(docs)
+    return cache.lines().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text_hash").alias("n_hashes"))
+
 
+_ASCII = "array_to_string(list_transform(regexp_extract_all(to_json({})::VARCHAR, '(?s).'), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\\u%04x', unicode(c)) END), '')"
 
-@query()
+
+@query(f"""WITH {C} SELECT chunk_id AS custom_id, sha256('{{"custom_id":"' || chunk_id || '","method":"POST","url":"/v1/embeddings","body":{{"model":"embed-small","input":' || {_ASCII.format('text')} || ',"dimensions":12}}}}') AS line FROM C""")
 def batch_request_lines(s, d):
-    return batch.request_lines(_c(s, d), "embed-small")
+    return batch.request_lines(_c(s, d), "embed-small", {"dimensions": 12, "model": "no"}).select("custom_id", F.sha2("value", 256).alias("line"))
 
 
 def _outputs(s, d) -> DataFrame:
@@ -545,9 +734,9 @@ def _outputs(s, d) -> DataFrame:
     return lab.select(F.when(F.col("quality") == 1, good).otherwise(bad).alias("value"))
 
 
-@query("SELECT doc_id::VARCHAR AS custom_id, 2 AS dim FROM labels WHERE quality = 1")
+@query("SELECT doc_id::VARCHAR AS custom_id, [0.5, toxic]::DOUBLE[] AS vector FROM labels WHERE quality = 1")
 def batch_output_parse(s, d):
-    return batch.parse_output(_outputs(s, d)).select("custom_id", F.size("vector").alias("dim"))
+    return batch.parse_output(_outputs(s, d))
 
 
 @query("SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 500)::INT AS file_no FROM documents")
@@ -555,6 +744,86 @@ def batch_file_assign(s, d):
     return batch.assign_files(_t(s, d, "documents").select("doc_id"), ["doc_id"], 500)
 
 
+_CAP = 20_000
+
+
+@query(f"""WITH RECURSIVE L AS (SELECT doc_id, strlen(text) AS b, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+R(i, doc_id, used, n, file_no) AS (SELECT 0, NULL::BIGINT, 0::BIGINT, 0, 0 UNION ALL
+ SELECT L.i, L.doc_id, CASE WHEN n >= 30 OR used + b > {_CAP} THEN b ELSE used + b END, CASE WHEN n >= 30 OR used + b > {_CAP} THEN 1 ELSE n + 1 END, CASE WHEN n >= 30 OR used + b > {_CAP} THEN file_no + 1 ELSE file_no END
+ FROM R JOIN L ON L.i = R.i + 1) SELECT doc_id, file_no FROM R WHERE doc_id IS NOT NULL""")
+def batch_file_bytes(s, d):
+    rows = _t(s, d, "documents").select("doc_id", F.octet_length("text").alias("b"))
+    return batch.assign_files(rows, ["doc_id"], 30, _CAP, "b").select("doc_id", "file_no")
+
+
+@query(f"SELECT count(*) AS n, 0 AS n_over FROM documents WHERE strlen(text) <= {_CAP}")
+def batch_file_ranges(s, d):
+    """Files folded range by range keep both caps, and the order."""
+    rows = _t(s, d, "documents").select("doc_id", F.octet_length("text").alias("b")).where(f"b <= {_CAP}")
+    filed = written(batch.assign_files(rows, ["doc_id"], 30, _CAP, "b", ranges=True))
+    each = filed.groupBy("file_no").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    wrong = each.alias("x").join(each.alias("y"), F.col("x.file_no") + 1 == F.col("y.file_no")).where("x.high > y.low").count()
+    over = each.where(f"n > 30 or b > {_CAP}").count() + wrong
+    return filed.agg(F.count(F.lit(1)).alias("n"), F.lit(over).alias("n_over"))
+
+
+class _Service:
+    """A provider of batches that keeps its files beside the requests and has answered all but the first request."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.files = spark, folder, {}
+
+    def upload(self, path: str) -> str:
+        self.files[f"f{len(self.files)}"] = path
+        return f"f{len(self.files) - 1}"
+
+    def create(self, file_id: str, window: str) -> dict:
+        return {"id": f"b-{file_id}", "status": "in_progress"}
+
+    def retrieve(self, batch_id: str) -> dict:
+        return {"id": batch_id, "status": "completed", "output_file_id": batch_id.removeprefix("b-")}
+
+    def download(self, file_id: str, to: str) -> str:
+        asked = self.spark.read.text(self.files[file_id]).select(F.get_json_object("value", "$.custom_id").alias("id"), F.get_json_object("value", "$.body.input").alias("t"))
+        asked = asked.where(F.col("id") != asked.agg(F.min("id")).first()[0])
+        data = F.array(F.struct(X.hash_vector(F.col("t"), 4).alias("embedding"), F.lit(0).alias("index")))
+        line = F.struct(F.col("id").alias("custom_id"), F.struct(F.lit(200).alias("status_code"), F.struct(data.alias("data")).alias("body")).alias("response"))
+        asked.select(F.to_json(line)).write.mode("overwrite").text(f"{to}/{file_id}")
+        return f"{to}/{file_id}"
+
+
+def _workflow(s, d) -> tuple:
+    docs = _t(s, d, "documents").where("lang = 'fr'").withColumn("document_id", F.col("doc_id").cast("string")).select("document_id", "text", "lang")
+    chunks = chunking.chunks(docs, SIZE, OVERLAP)
+    root = f"{shared_folder(s)}/batch-{uuid.uuid4().hex}"
+    client = _Service(s, root)
+    first = batch.BatchManager(s, batch.BatchState(root, "openai/embed", max_lines=100), store.ChunkStore(s, f"{root}/store"), client)
+    first.prepare(chunks, ["document_id", "chunk_index"])
+    later = batch.BatchManager.from_state(s, root, client, sleep=lambda _: None)  # another process goes on
+    later.submit()
+    return later, later.submit(), later.poll()
+
+
+_ASKED = f"{C.replace('FROM documents)', "FROM documents WHERE lang = 'fr')")}, B AS (SELECT *, floor((row_number() OVER (ORDER BY doc_id::VARCHAR, chunk_index) - 1) / 100)::INT AS f FROM C), G AS (SELECT * FROM B QUALIFY chunk_id <> min(chunk_id) OVER (PARTITION BY f))"
+
+
+@query(f"WITH {_ASKED} SELECT chunk_id, doc_id::VARCHAR AS document_id, lang, 'openai/embed' AS embedding_model, list_transform({VEC.format(dim=4, text='text')}, lambda x: round(x, 5)) AS vector FROM G")
+def batch_workflow(s, d):
+    """Prepare, submit and poll against a service: what is in the store then."""
+    manager, _, _ = _workflow(s, d)
+    return manager.store.read().select("chunk_id", "document_id", "lang", "embedding_model", F.transform("vector", lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+
+
+@query(f"WITH {_ASKED} SELECT f AS file_no, 0 AS sent_again, count(*) AS added, count(*) AS events FROM G GROUP BY f".replace("count(*) AS events", "3::BIGINT AS events"))
+def batch_states(s, d):
+    """For each request file: batches that a second submit makes, vectors ingested, events logged."""
+    manager, again, results = _workflow(s, d)
+    got = s.createDataFrame([(r.batch_id, r.records_added) for r in results], "batch_id string, added bigint")
+    file = F.regexp_extract("jsonl_path", r"file_no=(\d+)", 1).cast("int").alias("file_no")
+    events = manager.events().groupBy("batch_id", file).agg(F.count(F.lit(1)).alias("events"))
+    return events.join(got, "batch_id").select("file_no", F.lit(len(again)).alias("sent_again"), "added", "events")
+
+
 @query("""SELECT count(*) FILTER (WHERE d.doc_id IS NOT NULL AND l.toxic = 0) AS added, count(*) FILTER (WHERE NOT (d.doc_id IS NOT NULL AND l.toxic = 0)) AS skipped
 FROM labels l LEFT JOIN documents d USING (doc_id) WHERE l.quality = 1""")
 def batch_ingest_counts(s, d):
@@ -601,13 +870,13 @@ def queue_limit(s, d):
     return batch.queue(_t(s, d, "documents"), _t(s, d, "labels"), ["doc_id"], 50, "doc_id").select("doc_id")
 
 
-_DURATIONS = ["90s", " 5 m ", "24h", "7D", "x", "", "12", "h3"]
+_UNIT = "CASE event_id % 8 WHEN 0 THEN 's' WHEN 1 THEN ' m ' WHEN 2 THEN 'h' WHEN 3 THEN 'D' WHEN 4 THEN 'x' WHEN 5 THEN '' WHEN 6 THEN 's3' ELSE 'H' END"
 
 
-@query("SELECT * FROM (VALUES ('90s', 90), (' 5 m ', 300), ('24h', 86400), ('7D', 604800), ('x', NULL), ('', NULL), ('12', NULL), ('h3', NULL)) t(text, seconds)".replace("90)", "90::BIGINT)", 1))
+@query(f"SELECT event_id, CASE event_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 WHEN 7 THEN 3600 END * user_id AS seconds FROM events")
 def parse_duration(s, d):
-    rows = s.createDataFrame([(x,) for x in _DURATIONS], "text string")
-    return rows.select("text", X.parse_duration(F.col("text")).alias("seconds"))
+    spelled = F.concat(F.lit(" "), F.col("user_id").cast("string"), F.expr(_UNIT))
+    return _t(s, d, "events").select("event_id", X.parse_duration(spelled).alias("seconds"))
 
 
 # ---- sources ----
@@ -618,7 +887,13 @@ def _csv(s, d, one: bool) -> str:
     docs = _t(s, d, "documents")
     docs = docs.repartition(1).sortWithinPartitions("doc_id") if one else docs
     docs.write.option("escape", '"').option("quoteAll", True).option("lineSep", "\n").csv(f"{path}/documents", header=True)
-    return f"{path}/documents"
+    if not one:
+        return f"{path}/documents"
+    folder = s._jvm.org.apache.hadoop.fs.Path(f"{path}/documents")
+    fs = folder.getFileSystem(s._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".csv"))
+    fs.rename(part, s._jvm.org.apache.hadoop.fs.Path(f"{path}/documents.csv"))
+    return f"{path}/documents.csv"
 
 
 _STRIPPED = f"trim(text, {_WHITE})"
@@ -631,7 +906,7 @@ def scan_documents(s, d):
 
 
 @query(f"""WITH R AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
-SELECT 'documents_' || i AS document_id, 'documents:row_' || i AS source_path, sha256({_STRIPPED}) AS text_hash FROM R WHERE {_STRIPPED} <> ''""")
+SELECT 'documents_' || i AS document_id, 'documents.csv:row_' || i AS source_path, sha256({_STRIPPED}) AS text_hash FROM R WHERE {_STRIPPED} <> ''""")
 def document_ids(s, d):
     docs = files.read_csv(s, _csv(s, d, True), "text", schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
     return docs.select("document_id", "source_path", X.text_hash(F.col("text")).alias("text_hash"))
@@ -640,3 +915,47 @@ def document_ids(s, d):
 @query("SELECT doc_id::VARCHAR AS doc_id, lang FROM documents ORDER BY documents.doc_id LIMIT 12")
 def preview_limit(s, d):
     return files.preview(s, _csv(s, d, True)).select("doc_id", "lang")
+
+
+@query(f"""WITH R AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT 'lang-' || lang || '_' || i AS document_id, 'lang-' || lang || '.csv:row_' || i AS source_path, n_chars FROM R WHERE {_STRIPPED} <> ''""")
+def document_ids_of_folder(s, d):
+    """A folder of CSV files without line breaks inside rows: rows are numbered in each file, whatever its splits."""
+    path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    docs = _t(s, d, "documents").withColumn("text", F.regexp_replace("text", r"[\r\n]", " "))
+    fs = None
+    for (lang,) in docs.select("lang").distinct().collect():
+        docs.where(F.col("lang") == lang).repartition(1).sortWithinPartitions("doc_id").write.option("escape", '"').option("quoteAll", True).csv(f"{path}/{lang}", header=True)
+        folder = s._jvm.org.apache.hadoop.fs.Path(f"{path}/{lang}")
+        fs = fs or folder.getFileSystem(s._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".csv"))
+        fs.mkdirs(s._jvm.org.apache.hadoop.fs.Path(f"{path}/all"))
+        fs.rename(part, s._jvm.org.apache.hadoop.fs.Path(f"{path}/all/lang-{lang}.csv"))
+    got = files.read_csv(s, f"{path}/all", "text", ["n_chars"], schema="doc_id bigint, text string, lang string, source string, n_chars bigint", multi_line=False)
+    return got.select("document_id", "source_path", "n_chars")
+
+
+@query(f"SELECT 'd' || doc_id AS document_id, sha256({_STRIPPED}) AS text_hash, 'd' || doc_id || '.txt' AS filename, 'txt' AS source FROM documents WHERE lang = 'de' AND {_STRIPPED} <> ''")
+def scan_text_folder(s, d):
+    path = f"{shared_folder(s)}/txt-{uuid.uuid4().hex}"
+    fs = s._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s._jsc.hadoopConfiguration())
+    for r in _t(s, d, "documents").where("lang = 'de'").select("doc_id", "text").toLocalIterator():
+        out = fs.create(s._jvm.org.apache.hadoop.fs.Path(f"{path}/d{r['doc_id']}.txt"))
+        out.write(bytearray(f"\u00a0 {r['text']}\n".encode()))
+        out.close()
+    docs = files.ingest(s, path, "txt")
+    return docs.select("document_id", X.text_hash(F.col("text")).alias("text_hash"), "filename", "source")
+
+
+@query(f"WITH {C} SELECT chunk_id, doc_id AS document_id, lang, chunk_index FROM C")
+def stream_index(s, d):
+    """Documents as a stream of files, added to a store; a second run over the same files adds nothing."""
+    docs = _t(s, d, "documents").withColumnRenamed("doc_id", "document_id").select("document_id", "text", "lang")
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    docs.repartition(3).write.parquet(f"{folder}/in")
+    kept = store.ChunkStore(s, f"{folder}/store")
+    for run in range(2):
+        came = streaming.stream_documents(s, f"{folder}/in", "document_id bigint, text string, lang string", files_per_trigger=2)
+        pieces = chunking.chunks(came, SIZE, OVERLAP, meta=["lang"])
+        streaming.index_stream(pieces, models.MockEmbedder(DIM), kept, ["lang"], f"{folder}/checkpoint{run}").awaitTermination()
+    return kept.read().select("chunk_id", "document_id", "lang", "chunk_index")

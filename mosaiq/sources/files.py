@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.text import strip
 from mosaiq.operators.checkpoint import exists
+from mosaiq.session import written
 
 #: Spellings that a CSV reader of data frames takes for missing.
 NULL_TOKENS = ["", "NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "#N/A"]
@@ -28,43 +28,66 @@ def _cleared(df: DataFrame, columns: list[str], tokens: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")) if kinds[c] == "string" else F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in columns})
 
 
-def read_csv(spark: SparkSession, path: str, text_column: str, metadata_columns: list[str] | None = None, document_id_column: str | None = None, auto_generate_ids: bool = True, encoding: str = "utf-8", null_tokens: list[str] | None = None, schema: str | None = None) -> DataFrame:
-    """One document for each row with text. Ids: the id column where there is one, else stem_row (row from 0, counted
-    before empty rows go), else random. Unknown metadata columns are left out; missing text counts as empty.
+def _ordinals(df: DataFrame, folder: bool, multi_line: bool) -> DataFrame:
+    """df with mq_row, the row's number from 0 in its file. A partition numbers its rows one after the other, split by split;
+    where each split begins is a table of one row a split."""
+    numbered = df.withColumn("mq_row", F.monotonically_increasing_id())
+    if not folder and multi_line:
+        return numbered  # one file in one split
+    splits = numbered.groupBy("mq_file", "mq_start").agg(F.min("mq_row").alias("mq_low"), F.count(F.lit(1)).alias("mq_n"))
+    before = Window.partitionBy("mq_file").orderBy("mq_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = written(splits.withColumn("mq_low", F.col("mq_low") - F.coalesce(F.sum("mq_n").over(before), F.lit(0))).drop("mq_n"))
+    return numbered.join(splits, ["mq_file", "mq_start"]).withColumn("mq_row", F.col("mq_row") - F.col("mq_low"))
 
-    With quoted line breaks a file is one split, so rows keep the file's order and the ordinal is free.
+
+def read_csv(spark: SparkSession, path: str, text_column: str, metadata_columns: list[str] | None = None, document_id_column: str | None = None, auto_generate_ids: bool = True, encoding: str = "utf-8", null_tokens: list[str] | None = None, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """One document for each row with text, of a file or of all files in a folder. Ids: the id column where there is one,
+    else stem_row (row from 0 in its file, counted before empty rows go), else random ones, which are written so that
+    they stay. Unknown metadata columns are left out; missing text counts as empty.
+
+    With quoted line breaks a file is one task. multi_line=False is for large files without them: these are split.
     """
     _present(spark, path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", encoding)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if text_column not in df.columns:
         raise ValueError(f"no column {text_column!r}; there are: {', '.join(df.columns)}")
     meta = [c for c in (metadata_columns or []) if c in df.columns]
-    stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0]
-    name = os.path.basename(path.rstrip("/"))
-    # 33 low bits count inside a split; a single CSV file read whole has just one
-    rows = df.withColumn("mq_row", F.monotonically_increasing_id()).withColumn("mq_text", strip(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))))
+    own_id = document_id_column if document_id_column in df.columns else None
+    file = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -1)
+    named = df.select("*", file.alias("mq_file"), F.col("_metadata.file_block_start").alias("mq_start"))
+    rows = _ordinals(named, is_folder(spark, path), multi_line)
+    rows = rows.withColumn("mq_text", strip(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))))
     rows = _cleared(rows, meta, [t for t in (null_tokens if null_tokens is not None else NULL_TOKENS) if t])
-    if document_id_column and document_id_column in df.columns:
-        ident = F.col(f"`{document_id_column}`").cast("string")
+    number = F.col("mq_row").cast("string")
+    if own_id:
+        ident = F.col(f"`{own_id}`").cast("string")
     elif auto_generate_ids:
-        ident = F.concat(F.lit(f"{stem}_"), F.col("mq_row").cast("string"))
+        ident = F.concat(F.regexp_replace("mq_file", r"(?<=.)\.[^.]*$", ""), F.lit("_"), number)
     else:
         ident = F.expr("uuid()")
-    out = rows.select(ident.alias("document_id"), F.concat(F.lit(f"{name}:row_"), F.col("mq_row").cast("string")).alias("source_path"), F.col("mq_text").alias("text"), *[F.col(f"`{m}`") for m in meta])
-    return out.where("text <> ''")
+    out = rows.where("mq_text <> ''").select(ident.alias("document_id"), F.concat("mq_file", F.lit(":row_"), number).alias("source_path"), F.col("mq_text").alias("text"), *[F.col(f"`{m}`") for m in meta])
+    return out if own_id or auto_generate_ids else written(out)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def read_text_folder(spark: SparkSession, path: str, auto_generate_ids: bool = True) -> DataFrame:
-    """One document for each *.txt of a folder (not of folders inside it). Files that are not UTF-8 are left out."""
-    if not exists(spark, path) or os.path.isfile(path.removeprefix("file://")):
+def read_text_folder(spark: SparkSession, path: str, auto_generate_ids: bool = True, ordered: bool = True) -> DataFrame:
+    """One document for each *.txt of a folder (not of folders inside it), in the order of their paths; ordered=False
+    spares the sort. Files that are not UTF-8 are left out. Random ids are written, so that they stay."""
+    if not exists(spark, path) or not is_folder(spark, path):
         raise NotADirectoryError(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", False).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
     ident = F.regexp_replace(name, r"\.txt$", "") if auto_generate_ids else F.expr("uuid()")
     out = files.select(ident.alias("document_id"), F.col("path").alias("source_path"), strip(decoded).alias("text"), name.alias("filename"), F.lit("txt").alias("source"))
-    return out.where("text is not null and text <> ''")
+    out = out.where("text is not null and text <> ''")
+    out = out if auto_generate_ids else written(out)
+    return out.orderBy("source_path") if ordered else out
 
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
@@ -111,13 +134,13 @@ def pdf_documents(files: DataFrame, pages_of=None) -> DataFrame:
     return files.mapInPandas(run, "document_id string, source_path string, text string, num_pages int, filename string, source string")
 
 
-def ingest(spark: SparkSession, path: str, format: str = "csv", text_column: str | None = None, metadata_columns: list[str] | None = None, document_id_column: str | None = None, encoding: str = "utf-8") -> DataFrame:
+def ingest(spark: SparkSession, path: str, format: str = "csv", text_column: str | None = None, metadata_columns: list[str] | None = None, document_id_column: str | None = None, encoding: str = "utf-8", auto_generate_ids: bool = True) -> DataFrame:
     if format == "csv":
         if not text_column:
             raise ValueError("format csv needs text_column")
-        return read_csv(spark, path, text_column, metadata_columns, document_id_column, encoding=encoding)
+        return read_csv(spark, path, text_column, metadata_columns, document_id_column, auto_generate_ids, encoding)
     if format == "txt":
-        return read_text_folder(spark, path)
+        return read_text_folder(spark, path, auto_generate_ids)
     if format == "pdf":
         return read_pdf(spark, path)
     raise ValueError(f"unsupported format: {format}")
