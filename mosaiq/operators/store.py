@@ -142,6 +142,7 @@ class ChunkStore(VectorStore):
             raise ValueError("vectors must be there and have one positive size")
         batches, old = self.batches(), self.read()
         number = (batches or [-1])[-1] + 1
+        self._files().delete(self._path("replaced", f"batch={number}"), True)  # an add that broke off may have left it
         # places follow each partition's rows; gaps between partitions don't matter, only the order does
         ordered = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order) if order else rows
         start = (old.agg(F.max("seq")).first()[0] or 0) + 1 if batches else 0
