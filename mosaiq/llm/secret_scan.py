@@ -6,7 +6,8 @@ the combined automaton accepts, small per-rule automata give the span: the rever
 leftmost start, the forward one on to the longest end. Of some rules it has a part only (HEADS).
 
 Rule syntax: literals, escapes, classes, (?:...) groups, |, ?, *, +, {m}, {m,n}, {m,}, a leading (?i), and \\b
-as the first or last item. All of it means what it means in RE2 over UTF-8 (ASCII classes).
+as the first or last item. All of it means what it means in RE2 over UTF-8: ., negated classes and \\D, \\W, \\S take
+a whole character, whatever its number of bytes; a negated class may name ASCII characters only.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ HEADS: dict[str, tuple[str, str]] = {
 _WORD = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_")
 _NONWORD = frozenset(range(256)) - _WORD
 _EDGE = 0xFF  # never occurs in UTF-8; stands before and after each text
-_ANY = frozenset(range(256)) - {_EDGE}
-_CLASS = {
-    "d": frozenset(b"0123456789"), "w": _WORD, "s": frozenset(b" \t\n\r\f"),
-    "D": _ANY - frozenset(b"0123456789"), "W": _ANY - _WORD, "S": _ANY - frozenset(b" \t\n\r\f"),
-}
+_ASCII = frozenset(range(128))
+_CLASS = {"d": frozenset(b"0123456789"), "w": _WORD, "s": frozenset(b" \t\n\r\f")}
+_TAIL = ("set", frozenset(range(0x80, 0xC0)))
+#: The characters beyond ASCII, as sequences of bytes.
+_WIDE = [("cat", ("set", frozenset(range(low, high))), *[_TAIL] * n) for low, high, n in ((0xC2, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF5, 3))]
 _PIECE = 256  # bytes that are read at a time around a hit
 _CTRL = {"n": 10, "t": 9, "r": 13, "f": 12}
 
@@ -92,15 +93,21 @@ class _Parser:
                 node, self.i = ("rep", node, int(c == "+"), 1 if c == "?" else None), self.i + 1
         return node
 
-    def _set(self, members: frozenset[int]):
+    def _set(self, members: frozenset[int], others: bool = False):
+        """One of the characters; others: or any that is not ASCII."""
         if self.fold:
             members = members | {b ^ 32 for b in members if 65 <= b & ~32 <= 90 and b < 128}
-        return ("set", frozenset(members))
+        wide = [("cat", *(("set", frozenset([b])) for b in chr(c).encode())) for c in sorted(members) if c > 127]
+        options = [("set", frozenset(c for c in members if c < 128)), *wide, *(_WIDE if others else [])]
+        return options[0] if len(options) == 1 else ("alt", *options)
 
-    def _escape(self) -> frozenset[int]:
+    def _escape(self) -> tuple[frozenset[int], bool]:
+        """(characters, whether those that are not ASCII belong to them)."""
         c = self.s[self.i]
         self.i += 1
-        return _CLASS.get(c) or frozenset([_CTRL.get(c, ord(c))])
+        if c in "DWS":
+            return _ASCII - _CLASS[c.lower()], True
+        return _CLASS.get(c) or frozenset([_CTRL.get(c, ord(c))]), False
 
     def _atom(self):
         c = self.s[self.i]
@@ -117,30 +124,36 @@ class _Parser:
             if self._peek() == "b":
                 self.i += 1
                 return ("b",)
-            return self._set(self._escape())
+            return self._set(*self._escape())
         if c == ".":
-            return self._set(_ANY - {10})
+            return self._set(_ASCII - {10}, True)
         if c == "[":
             negate = self._peek() == "^"
             self.i += negate
             members: set[int] = set()
+            others = False
             while self._peek() != "]":
                 c = self.s[self.i]
                 self.i += 1
-                one = self._escape() if c == "\\" else frozenset([ord(c)])
+                one, beyond = self._escape() if c == "\\" else (frozenset([ord(c)]), False)
                 if self._peek() == "-" and self.s[self.i + 1] != "]" and len(one) == 1:
                     self.i += 1
                     c = self.s[self.i]
                     self.i += 1
-                    high = min(self._escape()) if c == "\\" else ord(c)
+                    high = min(self._escape()[0]) if c == "\\" else ord(c)
                     one = frozenset(range(min(one), high + 1))
                 members |= one
+                others |= beyond
             self.i += 1
-            kind, members_ = self._set(frozenset(members))
-            return (kind, _ANY - members_) if negate else (kind, members_)
+            if not negate:
+                return self._set(frozenset(members), others)
+            if max(members) > 127:
+                raise ValueError(f"a negated class of {self.s!r} has characters beyond ASCII")
+            folded = members | ({b ^ 32 for b in members if 65 <= b & ~32 <= 90} if self.fold else set())
+            return ("alt", ("set", _ASCII - folded), *([] if others else _WIDE))
         if c in ")?*+{":
             raise ValueError(f"unexpected {c!r} in {self.s!r}")
-        return self._set(frozenset([ord(c)])) if ord(c) < 128 else ("cat", *(("set", frozenset([b])) for b in c.encode()))
+        return self._set(frozenset([ord(c)]))
 
 
 def _body(pattern: str) -> tuple[bool, tuple, bool]:
