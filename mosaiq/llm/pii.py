@@ -8,9 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]$")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
-_LOCAL_MAX = 64  # RFC 5321: longest local part
 #: A stretch in which numbers can stand; the patterns below are tried only inside such stretches.
 _NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().+\-]*[0-9]")
 _IPV4 = re.compile(r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])")
@@ -20,8 +19,16 @@ _CARD = re.compile(r"(?<![0-9])[2-6][0-9]{3}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7
 #: Numbers that issuers give out, by their first digits and length; where proposals overlap, these go before others.
 _ISSUED = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|220[0-4][0-9]{12,15}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35[2-8][0-9]{13,16}|(?:5[06-8]|6[0-9])[0-9]{11,17}")
 _SSN = re.compile(r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])")
+_SSN_GOES_ON, _IPV4_GOES_ON = re.compile(r"[0-9\-]"), re.compile(r"[0-9]|\.[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
+#: Length of each country's IBANs (ISO 13616); of others any length is taken.
+_IBAN_LENGTH = {
+    c: int(n)
+    for n, countries in (x.split(":") for x in "15:NO 16:BE 18:DK FO FI GL NL SD 19:MK SI 20:AT BA EE KZ LT LU MN XK 21:CH HR LI LV 22:BG BH CR DE GB GE IE ME RS VA 23:AE GI IL IQ OM SO TL 24:AD CZ ES MD PK RO SA SE SK TN VG 25:LY PT ST 26:IS TR 27:BI DJ FR GR IT MC MR SM 28:AL AZ BY CY DO GT HU LB NI PL SV 29:BR PS QA UA 30:JO KW MU YE 31:MT SC 32:LC 33:RU".replace(" ", ",").replace(",1", " 1").replace(",2", " 2").replace(",3", " 3").split())
+    for c in countries.split(",")
+}
+
 #: Score of a span by its pattern alone; what a passed checksum adds; a failed one rejects the span.
 BASE = {"email": 0.9, "ipv4": 0.6, "phone": 0.6, "card": 0.3, "ssn": 0.5, "iban": 0.3}
 CHECKSUM = 0.5
@@ -62,22 +69,28 @@ def mod97(iban: str) -> bool:
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     free, at = 0, text.find("@")
     while at >= 0:
-        low = max(free, at - _LOCAL_MAX)
-        left, right = _EMAIL_LEFT.search(text[low:at]), _EMAIL_RIGHT.match(text, at + 1)
-        if left and right:
+        low = at  # the local part is all that can belong to one, however long
+        while low > free and text[low - 1] in _LOCAL:
+            low -= 1
+        right = _EMAIL_RIGHT.match(text, at + 1) if low < at and text[at - 1] != "." else None
+        if right:
             free = right.end()
-            yield low + left.start(), free
+            yield low, free
         at = text.find("@", max(at + 1, free))
 
 
 def _iban(text: str) -> Iterator[tuple[int, int]]:
-    """Spans whose longest prefix of whole groups passes mod 97: the pattern may run on into capitals that follow."""
+    """Spans whose longest prefix of whole groups has the country's length and passes mod 97: the pattern may run on into
+    capitals that follow."""
     for m in _IBAN.finditer(text):
         a, b = m.span()
+        length = _IBAN_LENGTH.get(text[a : a + 2])
         while b - a >= 15:
-            if text[b - 1] != " " and (b == len(text) or not text[b].isalnum()) and mod97(text[a:b].replace(" ", "")):
-                yield a, b
-                break
+            if text[b - 1] != " " and (b == len(text) or not text[b].isalnum()):
+                whole = text[a:b].replace(" ", "")
+                if length in (None, len(whole)) and mod97(whole):
+                    yield a, b
+                    break
             b -= 1
 
 
@@ -106,8 +119,9 @@ def spans(text: str) -> list[tuple[str, int, int, bool | None, float]]:
         if b - a < 7:
             continue
         found += [("card", *x, True) for x in _cards(text, a, b)]
-        found += [("ssn", *m.span(), None) for m in _SSN.finditer(text, a, b)]
-        found += [("ipv4", *m.span(), None) for m in _IPV4.finditer(text, a, b)]
+        # what must not follow a number is looked for beyond the region, too
+        found += [("ssn", *m.span(), None) for m in _SSN.finditer(text, a, b) if not _SSN_GOES_ON.match(text, m.end())]
+        found += [("ipv4", *m.span(), None) for m in _IPV4.finditer(text, a, b) if not _IPV4_GOES_ON.match(text, m.end())]
         found += [("phone", *m.span(), None) for m in _PHONE.finditer(text, a, b)]
         for m in _PHONE_INTL.finditer(text, a, b):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
