@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.exact import _address
+from mosaiq.llm.exact import _address, each_time
 from mosaiq.session import written
 
 LEAF = 16_384  # documents that a leaf of the tree reduces, on average
 FAN = 1024  # children of an inner node
 _EPS = 1e-9
-_ROW = "mq_id {id}, mq_source {source}, mq_len bigint, mq_hash bigint, mq_due double, mq_copies bigint, mq_p double, mq_h bigint, mq_bucket bigint, mq_buckets bigint"
+_ROW = "mq_id {id}, mq_source {source}, mq_len bigint, mq_hash bigint, mq_rows bigint, mq_due double, mq_copies bigint, mq_p double, mq_h bigint, mq_bucket bigint, mq_buckets bigint"
 
 
 def _uniform(h: np.ndarray, level: int) -> np.ndarray:
@@ -96,10 +96,12 @@ def _decided(docs, weights, temperature, total_bytes, seed, leaf, fan, id_col, s
     due = expected_copies(docs, weights, temperature, total_bytes, source_col, text_col)
     length, content = _address(text_col)
     rows = docs.select(F.col(id_col).alias("mq_id"), F.col(source_col).alias("mq_doc_source"), length, content)
+    rows = rows.groupBy("mq_id", "mq_doc_source", "mq_len", "mq_hash").agg(F.count(F.lit(1)).alias("mq_rows"))
+    owed = F.col("mq_due") * F.col("mq_rows")
     rows = rows.join(due, rows["mq_doc_source"].eqNullSafe(due["mq_source"])).select(
-        "mq_id", F.col("mq_doc_source").alias("mq_source"), F.coalesce("mq_len", F.lit(-1).cast("bigint")).alias("mq_len"), "mq_hash", "mq_due",
-        F.floor(F.col("mq_due") + _EPS).alias("mq_copies"),
-        F.greatest(F.col("mq_due") - F.floor(F.col("mq_due") + _EPS), F.lit(0.0)).alias("mq_p"),
+        "mq_id", F.col("mq_doc_source").alias("mq_source"), F.coalesce("mq_len", F.lit(-1).cast("bigint")).alias("mq_len"), "mq_hash", "mq_rows", "mq_due",
+        F.floor(owed + _EPS).alias("mq_copies"),
+        F.greatest(owed - F.floor(owed + _EPS), F.lit(0.0)).alias("mq_p"),
         F.xxhash64(F.lit(seed), "mq_id", "mq_hash").alias("mq_h"),
         F.ceil(F.col("mq_n") / leaf).cast("bigint").alias("mq_buckets"),
     )
@@ -136,28 +138,39 @@ def mix_copies(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     size to the power of temperature. total_bytes: bytes of the output; None: the least for which no source is due
     less than one copy of each document, so nothing is lost. A null source is a source. Null and empty texts weigh
     nothing and are due what their source is due; a source that has no bytes at all is due one copy. Rows repeated
-    are rounded one by one. A null id is an id. Other columns are not read. An empty table gives an empty result.
+    share the copies that they are due together, as evenly as whole numbers can. A null id is an id. Other columns are
+    not read. An empty table gives an empty result.
     """
     out = _decided(docs, weights, temperature, total_bytes, seed, leaf, fan, id_col, source_col, text_col)
-    return out.select(F.col("mq_id").alias(id_col), F.col("mq_source").alias(source_col), F.col("mq_due").alias("expected"), F.col("mq_copies").alias("copies"))
+    each, more = F.floor(F.col("mq_copies") / F.col("mq_rows")), F.col("mq_copies") % F.col("mq_rows")
+    shares = F.array(F.struct((each + 1).alias("copies"), more.alias("mq_times")), F.struct(each.alias("copies"), (F.col("mq_rows") - more).alias("mq_times")))
+    rows = each_time(out.select("mq_id", "mq_source", "mq_due", F.inline(shares)).where("mq_times > 0"), "mq_times", "mq_first")
+    return rows.select(F.col("mq_id").alias(id_col), F.col("mq_source").alias(source_col), F.col("mq_due").alias("expected"), "copies")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, total_bytes: float | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with each row as many times as mix_copies gives it. Rows with the same id and text share their copies."""
+    """docs with each row as many times as mix_copies gives it; the columns stay as they are, whatever their names.
+
+    Rows with the same id, source and text share their copies, as evenly as whole numbers can; which of them, where
+    other columns differ, gets one more is settled by a hash of all columns. Nulls in any column, empty texts and an
+    empty table are as in mix_copies.
+    """
     out = _decided(docs, weights, temperature, total_bytes, seed, LEAF, FAN, id_col, source_col, text_col)
-    copies = written(out.groupBy("mq_id", "mq_source", F.nullif(F.col("mq_len"), F.lit(-1)).alias("mq_len"), "mq_hash").agg(F.sum("mq_copies").alias("mq_copies"), F.count(F.lit(1)).alias("mq_rows")))
-    null_safe = docs[source_col].eqNullSafe(copies["mq_source"])
-    length = F.octet_length(docs[text_col]).cast("bigint")
-    same = docs[id_col].eqNullSafe(copies["mq_id"]) & length.eqNullSafe(copies["mq_len"]) & (F.xxhash64(docs[text_col]) == copies["mq_hash"]) & null_safe
-    joined = docs.join(copies.hint("shuffle_hash"), same)
-    keep = [docs[f"`{c}`"] for c in docs.columns]
-    single = joined.where("mq_rows = 1").select(*keep, F.explode(F.when(F.col("mq_copies") > 0, F.sequence(F.lit(1).cast("bigint"), "mq_copies")).otherwise(F.array().cast("array<bigint>"))).alias("mq_i")).drop("mq_i")
+    copies = written(out.select("mq_id", "mq_source", F.nullif(F.col("mq_len"), F.lit(-1)).alias("mq_len"), "mq_hash", "mq_copies", "mq_rows"))
+    names = [f"mq_c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    ident, source, text = (plain[names[docs.columns.index(c)]] for c in (id_col, source_col, text_col))
+    same = ident.eqNullSafe(copies["mq_id"]) & F.octet_length(text).cast("bigint").eqNullSafe(copies["mq_len"]) & (F.xxhash64(text) == copies["mq_hash"]) & source.eqNullSafe(copies["mq_source"])
+    joined = plain.join(copies.hint("shuffle_hash"), same).where("mq_copies > 0")
+    single = each_time(joined.where("mq_rows = 1").select(*names, "mq_copies"), "mq_copies", "mq_first").select(*names).toDF(*docs.columns)
     if copies.where("mq_rows > 1").isEmpty():
         return single
-    # row j of m rows repeated is written copies // m times, and once more if j <= copies % m
-    names = [f"mq_c{i}" for i in range(len(docs.columns))]
-    many = joined.where("mq_rows > 1").select(*keep, "mq_copies", "mq_rows", copies["mq_id"], copies["mq_source"], copies["mq_len"], copies["mq_hash"]).toDF(*names, "mq_copies", "mq_rows", "mq_id", "mq_source", "mq_len", "mq_hash")
-    many = many.withColumn("mq_j", F.row_number().over(Window.partitionBy("mq_id", "mq_source", "mq_len", "mq_hash").orderBy(F.lit(0))))
-    times = F.floor(F.col("mq_copies") / F.col("mq_rows")) + (F.col("mq_j") <= F.col("mq_copies") % F.col("mq_rows")).cast("bigint")
-    several = many.select(*names, F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>"))).alias("mq_i")).drop("mq_i").toDF(*docs.columns)
-    return single.unionByName(several)
+    # rows that agree in all columns are counted; of m rows that share copies, the first copies % m get one more
+    address = ["mq_id", "mq_source", "mq_len", "mq_hash", "mq_copies", "mq_rows"]
+    alike = joined.where("mq_rows > 1").groupBy(*names, *address).agg(F.count(F.lit(1)).alias("mq_m"))
+    upto = F.sum("mq_m").over(Window.partitionBy(*address).orderBy(F.xxhash64(*names)).rowsBetween(Window.unboundedPreceding, 0))
+    rank, more = F.col("mq_upto") - F.col("mq_m"), F.col("mq_copies") % F.col("mq_rows")
+    extra = F.greatest(F.least("mq_upto", more) - rank, F.lit(0))
+    several = alike.withColumn("mq_upto", upto).withColumn("mq_times", F.floor(F.col("mq_copies") / F.col("mq_rows")) * F.col("mq_m") + extra)
+    several = each_time(several.where("mq_times > 0").select(*names, "mq_times"), "mq_times", "mq_first")
+    return single.unionByName(several.select(*names).toDF(*docs.columns))
