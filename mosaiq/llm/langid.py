@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 Labelled text of each language becomes a suffix automaton over byte classes. A document is parsed greedily into the
-longest phrases that occur in that text; the fewer phrases, the closer the language. Phrases are normalised by what
+longest phrases that occur in that text, from its beginning to its end; the fewer phrases, the closer the language. Phrases are normalised by what
 a text over the same alphabet costs: c * log2(n) / n bits a byte, n the length in symbols. The language with the
 least wins. All automata are transition tables, and many documents are walked in lockstep by numpy.
 """
@@ -12,14 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample that the classifier is fitted on: documents and bytes for each language.
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 24_000
-#: A document is parsed in segments of this many bytes; no phrase crosses from one to the next. The text is parsed whole.
+#: A document is walked in segments of this many bytes, all at once. Phrases go on from one to the next.
 SEGMENT = 2048
+#: Bytes before a segment at which its walk begins, to come into step with the segment before it.
+LEAD = 96
+#: Bytes of whole documents that are walked at a time.
+PART = 4 << 20
 #: Segments that are walked at a time: what a task holds doesn't grow with the batch.
 LOCKSTEP = 1024
 #: A document is rejected if its letters are fewer than this, or its phrases more than the limit.
@@ -140,29 +145,51 @@ class CrossParser:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = offsets[owner] + nth * SEGMENT
         size = np.minimum(SEGMENT, offsets[owner + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
+        begun = np.zeros((len(self.roots), len(owner)), dtype=np.int64)
+        before, after = (np.zeros((len(self.roots), len(owner)), dtype=np.int32) for _ in range(2))
+        # no way leads on from state 0: a document's first byte begins a phrase
+        self._walk(folded, start, size, np.flatnonzero(nth == 0), 0, begun, before, after)
+        self._walk(folded, start, size, np.flatnonzero(nth > 0), LEAD, begun, before, after)
+        # a walk that came to its segment in another state than the segment before has left is done again from that state
+        while True:
+            astray = np.zeros(len(owner) + 1, dtype=bool)
+            astray[1:-1] = (nth[1:] > 0) & (before[:, 1:] != after[:, :-1]).any(axis=0)
+            again = np.flatnonzero(astray[:-1] & ~np.append(False, astray[:-2]))
+            if not len(again):
+                break
+            before[:, again] = after[:, again - 1]
+            self._walk(folded, start, size, again, 0, begun, before, after)
+        for j in range(len(self.roots)):
+            counts[:, j] = np.bincount(owner, weights=begun[j], minlength=n).astype(np.int64)
+        return counts, letters
+
+    def _walk(self, folded: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray, lead: int, begun: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+        """Walk segments in lockstep from state before, or, with lead, from the start state lead bytes earlier; begun gets
+        the phrases that begin in each, before and after the states at its ends."""
         roots = np.array(self.roots, dtype=np.int32)[:, None]
         step = self.step
-        for low in range(0, len(start), LOCKSTEP):
-            begin, long = start[low : low + LOCKSTEP], size[low : low + LOCKSTEP]
+        which = which[np.argsort(-size[which], kind="stable")]
+        for low in range(0, len(which), LOCKSTEP):
+            group = which[low : low + LOCKSTEP]
+            begin, long = start[group] - lead, size[group] + lead
             # symbols of the group's segments, one row for each place, so that a step reads one stretch of memory
             at = begin[None, :] + np.arange(long[0])[:, None]
             kinds = self.kind.take(folded.take(at, mode="clip"))
             live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")  # segments longer than t
-            state = np.zeros((len(roots), len(begin)), dtype=np.int32)  # no way leads on from state 0: the next byte begins a phrase
-            begun = np.zeros((len(roots), len(begin)), dtype=np.int32)
+            state = np.zeros((len(roots), len(group)), dtype=np.int32) if lead else before[:, group]
+            found = np.zeros((len(roots), len(group)), dtype=np.int32)
             for t in range(int(long[0])):
+                if t == lead:
+                    before[:, group] = state
+                    found[:] = 0
                 m = live[t]
                 c = kinds[t, :m]
                 to = step.take(state[:, :m] + c)
                 fail = to == 0
                 # a phrase begins with this byte; if the text doesn't have it, it is a phrase itself
-                begun[:, :m] += fail
+                found[:, :m] += fail
                 state[:, :m] = np.where(fail, step.take(roots + c), to)
-            for j in range(len(roots)):
-                counts[:, j] += np.bincount(owner[low : low + LOCKSTEP], weights=begun[j], minlength=n).astype(np.int64)
-        return counts, letters
+            after[:, group], begun[:, group] = state, found
 
     @staticmethod
     def rates(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -183,14 +210,15 @@ class CrossParser:
 
 
 def labelled_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
-    """Text of each language: sample_docs labelled documents of 200 bytes or more, least hash of the id first, an even share of sample_bytes from each."""
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) >= 200))
-    order = F.xxhash64(F.lit(11), F.col(id_col).cast("string"))
+    """Text of each language: sample_docs different labelled documents, least hash of id and text first, an even share of
+    sample_bytes from each. What is collected is bounded by these two for each language, whatever ids are null or repeated."""
+    usable = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
+    order = F.xxhash64(F.lit(11), F.col(id_col).cast("string"), F.col(text_col))
     ranked = usable.select(F.col(lang_col).cast("string").alias("mq_lang"), order.alias("mq_h"))
-    ranked = ranked.withColumn("mq_rank", F.row_number().over(Window.partitionBy("mq_lang").orderBy("mq_h"))).where(F.col("mq_rank") <= sample_docs)
+    ranked = ranked.withColumn("mq_rank", F.dense_rank().over(Window.partitionBy("mq_lang").orderBy("mq_h"))).where(F.col("mq_rank") <= sample_docs)
     chosen = ranked.select("mq_h").distinct()  # ranked without the texts, which are then read for the chosen few
     texts_of = usable.select(F.col(lang_col).cast("string").alias("mq_lang"), order.alias("mq_h"), F.substring(F.col(text_col).cast("binary"), 1, sample_bytes).alias("mq_text"))
-    ranked = texts_of.where(F.col("mq_h").isin([r[0] for r in chosen.collect()]))
+    ranked = texts_of.where(F.col("mq_h").isin([r[0] for r in chosen.collect()])).groupBy("mq_lang", "mq_h").agg(F.any_value("mq_text").alias("mq_text"))
     out: dict[str, list[bytes]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["mq_lang"], r["mq_h"], bytes(r["mq_text"]))):
         if len(out.setdefault(r["mq_lang"], [])) < sample_docs:
@@ -212,28 +240,36 @@ def fit(docs: DataFrame, **options) -> CrossParser | None:
     return CrossParser(texts) if texts else None
 
 
-def _identified(docs: DataFrame, parser: CrossParser | None, text_col: str, keep: list, out: str):
+def _identified(docs: DataFrame, parser: CrossParser | None, text_col: str, keep: list, out: str, at: int | None = None) -> DataFrame:
+    """keep with identified, bits and margin. at: which of keep is the text; None: none of them."""
+    kept = len(keep)
+    at = kept if at is None else at
     if parser is None:
         return docs.select(*keep, F.lit(None).cast("string").alias("identified"), F.lit(None).cast("double").alias("bits"), F.lit(None).cast("double").alias("margin"))
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            texts = texts.cast(pa.large_binary())
-            valid = np.array([x.is_valid for x in texts]) if texts.null_count else np.ones(len(texts), dtype=bool)
-            filled = texts.fill_null(b"")
-            offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
-            data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-            language, least, margin = p.identify(data, offsets - offsets[0]) if len(texts) else ([], np.empty(0), np.empty(0))
-            none = np.array([x is None for x in language], dtype=bool)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(language, pa.string()), pa.array(least.astype(float), mask=none | ~valid), pa.array(margin.astype(float), mask=none | ~valid)],
-                [*batch.schema.names[:-1], "identified", "bits", "margin"],
-            )
-
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("mq_text")).mapInArrow(identify, out)
+        for whole in batches:
+            texts = whole.column(at)
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+            i = 0
+            while i < whole.num_rows:
+                upto = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART, side="right")))
+                batch, part = whole.slice(i, upto - i), texts.slice(i, upto - i).cast(pa.large_string()).cast(pa.large_binary())
+                valid = np.asarray(part.is_valid())
+                filled = part.fill_null(b"")
+                offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+                data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+                language, least, margin = p.identify(data, offsets - offsets[0])
+                none = np.array([x is None for x in language], dtype=bool)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:kept], pa.array(language, pa.string()), pa.array(least.astype(float), mask=none | ~valid), pa.array(margin.astype(float), mask=none | ~valid)],
+                    [*batch.schema.names[:kept], "identified", "bits", "margin"],
+                )
+                i = upto
+
+    return docs.select(*keep, *([F.col(text_col).alias("mq_text")] if at == kept else [])).mapInArrow(identify, out)
 
 
 def identify_language(docs: DataFrame, parser: CrossParser | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -252,7 +288,8 @@ def identify_language(docs: DataFrame, parser: CrossParser | None = None, id_col
 
 
 def keep_identified(docs: DataFrame, parser: CrossParser | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the documents that identify_language rejects; all columns stay as they are."""
+    """docs without the documents that identify_language rejects (null and empty texts among them); all columns stay as
+    they are. Null ids and labels, repeated rows and empty tables are as there."""
     parser = parser or fit(docs, lang_col=lang_col, id_col=id_col, text_col=text_col)
     if parser is None:
         return docs.limit(0)
@@ -260,5 +297,5 @@ def keep_identified(docs: DataFrame, parser: CrossParser | None = None, id_col:
     renamed = docs.toDF(*names)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
     text = names[docs.columns.index(text_col)]
-    found = _identified(renamed, parser, text, [F.col(n) for n in names], f"{schema}, identified string, bits double, margin double")
+    found = _identified(renamed, parser, text, [F.col(n) for n in names], f"{schema}, identified string, bits double, margin double", docs.columns.index(text_col))
     return found.where("identified is not null").select(*names).toDF(*docs.columns)
