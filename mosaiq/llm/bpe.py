@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MEMO = 400_000  # pieces whose ids a worker remembers; others are computed anew
+PAIRS = 4_000_000  # pairs of tokens whose compatibility it remembers, after which it begins anew
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -82,6 +83,7 @@ class Bpe(dict):
         for t, r in self.spelled.items():
             self.shorter[r] = next((q for n in range(len(t) - 1, 0, -1) if (q := self.spelled.get(t[:n])) is not None), -1)
         self.fits: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.fitted = 0
 
     def _halves(self, t: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None if merges never make it."""
@@ -115,6 +117,10 @@ class Bpe(dict):
                     if a == limit:
                         fits = True
                         break
+        self.fitted += 1
+        if self.fitted > PAIRS:
+            self.fits.clear()
+            self.fitted = 0
         self.fits[key[0]][key[1]] = fits
         return fits
 
@@ -233,7 +239,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
 
 
 def bpe_decode(tokens: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, text), one row for each row of tokens. Null tokens give a null text. Bytes that are no UTF-8 become U+FFFD."""
+    """(id, text), one row for each row of tokens. Null tokens give a null text, no tokens the empty one. Bytes that are no
+    UTF-8 become U+FFFD; an id that the vocabulary lacks is an error. Repeated rows are decoded each, a null id is
+    carried, other columns are not read, whatever their names. An empty table gives an empty result. Narrow."""
     shared = _share(tokens, vocabulary)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
