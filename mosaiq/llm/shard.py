@@ -1,12 +1,13 @@
-"""Sharding by sampled splitters: size-weighted key samples, quantile boundaries, overfull ranges subdivided."""
+"""Sharding by sampled splitters: size-weighted key samples, quantile boundaries, overfull ranges subdivided.
 
-from __future__ import annotations
+Ranges are cut again and again, each into at most FAN parts, until they fit; so a sample that is ordered in one task,
+and the boundaries that a row is compared with, are bounded however large the table. Boundaries are joined on the range
+that they cut, not broadcast.
+"""
 
-from bisect import bisect_right
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.session import written
@@ -14,92 +15,112 @@ from mosaiq.session import written
 TARGET = 32 << 20  # bytes of text in a shard
 OVERSAMPLE = 16  # samples drawn for each shard, on average
 SLACK = 1.25  # a range above SLACK x target is overfull
+FAN = 256  # parts that a range is cut into at a time, at most
+_WIDE = 16  # boundaries in a bundle: a row is compared with the bundles' first ones, then inside one
 
 
-def _order(value: tuple) -> tuple:
-    """Total order of key tuples: null before all values in each column."""
-    return tuple((x is not None, x) if x is not None else (False, 0) for x in value)
+def _key(keys: list[str]) -> Column:
+    """Keys and tie as one value; null comes before all values."""
+    return F.struct(*keys, "mq_tie")
 
 
-def _splitters(rows: DataFrame, keys: list[str], target: float, oversample: int) -> list[tuple]:
-    """(range, key, tie) boundaries: for each range of rows the sampled keys at which the weight passes multiples of its step.
+def _splitters(rows: DataFrame, keys: list[str], target: float, oversample: int, fan: int) -> DataFrame:
+    """(mq_range, mq_cuts): for each range the sampled keys at which the weight passes multiples of its step, in bundles.
 
     A row is drawn with a chance in proportion to its size; a drawn row stands for size / chance bytes. A range is
-    cut into ceil(size / target) steps. The cumulative weights run over the sample alone.
+    cut into ceil(size / target) steps, fan at most. The cumulative weights run over the sample alone.
     """
     per = Window.partitionBy("mq_range")
     sums = rows.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"))
-    steps = F.greatest(F.ceil(F.col("mq_total") / target), F.lit(1))
-    wanted = rows.join(sums, "mq_range").withColumn("mq_chance", F.least(F.lit(1.0), F.col("mq_size").cast("double") * float(oversample) * steps / F.greatest("mq_total", F.lit(1))))
+    sums = sums.withColumn("mq_steps", F.least(F.greatest(F.ceil(F.col("mq_total") / target), F.lit(1)), F.lit(fan)).cast("double"))
+    wanted = rows.join(sums, "mq_range").withColumn("mq_chance", F.least(F.lit(1.0), F.col("mq_size").cast("double") * float(oversample) * F.col("mq_steps") / F.greatest("mq_total", F.lit(1))))
     draw = (F.xxhash64(F.lit(oversample), "mq_tie").bitwiseAND(F.lit((1 << 53) - 1)) + 0.5) / float(1 << 53)
     drawn = wanted.where((F.col("mq_size") > 0) & (draw < F.col("mq_chance"))).withColumn("mq_weight", F.col("mq_size") / F.col("mq_chance"))
-    drawn = drawn.groupBy("mq_range", *keys, "mq_tie").agg(F.sum("mq_weight").alias("mq_weight"))
+    drawn = drawn.groupBy("mq_range", "mq_steps", *keys, "mq_tie").agg(F.sum("mq_weight").alias("mq_weight"))
     ordered = per.orderBy(*[F.col(k).asc_nulls_first() for k in keys], "mq_tie")
     cum = drawn.withColumn("mq_upto", F.sum("mq_weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).withColumn("mq_of", F.sum("mq_weight").over(per))
-    share = F.greatest(F.ceil(F.col("mq_of") / target), F.lit(1))
+    share = F.col("mq_steps")
     cum = cum.withColumn("mq_step", F.floor(F.col("mq_upto") * share / F.col("mq_of") - 1e-9)).withColumn("mq_before", F.lag("mq_step", 1, 0).over(ordered))
     passed = F.col("mq_step") > F.col("mq_before")
     large = passed & (F.col("mq_weight") * share >= F.col("mq_of") / 2)  # a large row ends its range
     cum = cum.withColumn("mq_cut", passed | F.coalesce(F.lag(large, 1).over(ordered), F.lit(False)))
-    cuts = cum.where("mq_cut").select("mq_range", *keys, "mq_tie").collect()
-    return sorted(((r[0], tuple(r[1:])) for r in cuts), key=lambda x: (x[0], _order(x[1])))
-
+    cuts = cum.where("mq_cut").groupBy("mq_range").agg(F.array_sort(F.collect_list(_key(keys))).alias("mq_all"))
+    bundles = F.transform(F.sequence(F.lit(0), F.ceil(F.size("mq_all") / F.lit(_WIDE)).cast("int") - 1), lambda i: F.slice("mq_all", i * _WIDE + 1, F.lit(_WIDE)))
+    return cuts.select("mq_range", bundles.alias("mq_cuts"))
 
-def _assign(rows: DataFrame, cuts: list[tuple], keys: list[str]) -> DataFrame:
-    """Renumber mq_range: each old range becomes its sub-ranges, in order. A row at a boundary goes above it."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast([(r, _order(k)) for r, k in cuts])
-    names = rows.columns
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = shared.value
-        for batch in batches:
-            at = [batch.schema.get_field_index(c) for c in ["mq_range", *keys, "mq_tie"]]
-            cols = [batch.column(i).to_pylist() for i in at]
-            new = [r + bisect_right(bounds, (r, _order(k))) for r, *k in zip(*cols)]
-            arrays = [pa.array(new, pa.int64()) if n == "mq_range" else batch.column(i) for i, n in enumerate(batch.schema.names)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+def _assign(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """Each range becomes its sub-ranges, in order, by four digits more. A row at a boundary goes above it."""
+    names, key = rows.columns, _key(keys)
+    bundle = F.size(F.filter("mq_cuts", lambda b: b[0] <= key))
+    inside = F.size(F.filter(F.get("mq_cuts", F.col("mq_bundle") - 1), lambda c: c <= key))
+    joined = rows.join(cuts, "mq_range", "left").withColumn("mq_bundle", F.coalesce(bundle, F.lit(0)))
+    place = F.when(F.col("mq_bundle") > 0, (F.col("mq_bundle") - 1) * _WIDE + inside).otherwise(0)
+    return joined.withColumn("mq_range", F.concat("mq_range", F.lpad(place.cast("string"), 4, "0"))).select(*names)
 
-    return rows.mapInArrow(place, rows.schema)
 
-
-def shard_ids(docs: DataFrame, target_bytes: int = TARGET, oversample: int = OVERSAMPLE, slack: float = SLACK, keys: tuple[str, ...] = ("source", "doc_id"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_ids(docs: DataFrame, target_bytes: int = TARGET, oversample: int = OVERSAMPLE, slack: float = SLACK, keys: tuple[str, ...] = ("source", "doc_id"), id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """(id, shard, n_bytes), one row for each row of docs.
 
     Shards are ranges of keys, in order: all rows of shard i come before those of shard i + 1; rows with equal keys
     are ordered by a hash of id and text. Boundaries are quantiles of a size-weighted sample whose size follows the
     number of shards. A range above slack x target_bytes is sampled anew, more densely, and subdivided, until it
-    fits or holds just one (keys, id, text): only a single document above that size, or one document repeated,
-    stays overfull. Nulls come first in a key; null and empty texts have no bytes. Other columns are not read.
-    An empty table gives an empty result.
+    fits or holds just one (keys, id, text); if that is of rows repeated, they are dealt out evenly to as many shards
+    as they need, so only a single row above that size stays overfull. Nulls come first in a key; null and empty texts
+    have no bytes. Other columns are not read. An empty table gives an empty result.
     """
-    return _placed(docs, target_bytes, oversample, slack, keys, id_col, text_col).select(F.col("mq_id").alias(id_col), "shard", F.col("mq_size").alias("n_bytes"))
+    return _placed(docs, target_bytes, oversample, slack, keys, id_col, text_col, fan).select(F.col("mq_id").alias(id_col), "shard", F.col("mq_size").alias("n_bytes"))
 
 
-def _placed(docs: DataFrame, target_bytes: int, oversample: int, slack: float, keys: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
-    tie = F.xxhash64(id_col, text_col)
+def _placed(docs: DataFrame, target_bytes: int, oversample: int, slack: float, keys: tuple[str, ...], id_col: str, text_col: str, fan: int) -> DataFrame:
     cols = [f"mq_k{i}" for i in range(len(keys))]
-    rows = written(
-        docs.select(F.lit(0).cast("bigint").alias("mq_range"), *[F.col(k).alias(c) for k, c in zip(keys, cols)], tie.alias("mq_tie"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("mq_size"), F.col(id_col).alias("mq_id"))
-    )
-    rows = written(_assign(rows, _splitters(rows, cols, target_bytes, oversample), cols))
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
+    rows = docs.select(F.lit("").alias("mq_range"), *[F.col(k).alias(c) for k, c in zip(keys, cols)], F.xxhash64(id_col, text_col).alias("mq_tie"), size.alias("mq_size"), F.col(id_col).alias("mq_id"))
+    todo, parts = written(rows.withColumn("mq_row", F.monotonically_increasing_id())), []
     while True:
         alike = F.when(F.col("mq_size") > 0, F.xxhash64(*cols, "mq_tie"))  # rows without bytes can't be cut from, nor need they
-        by = written(rows.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"), F.coalesce(F.min(alike) < F.max(alike), F.lit(False)).alias("mq_many")))
-        over = by.where((F.col("mq_total") > slack * target_bytes) & F.col("mq_many")).select("mq_range")
+        by = written(todo.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"), F.max("mq_size").alias("mq_most"), F.coalesce(F.min(alike) < F.max(alike), F.lit(False)).alias("mq_many")))
+        large = by.where(F.col("mq_total") > slack * target_bytes)
+        over = large.where("mq_many").select("mq_range")
+        # one text over and over: its rows are all alike, so any of them may go to any of its shards
+        dealt = large.where("not mq_many and mq_total > mq_most").select("mq_range", F.ceil(F.col("mq_total") / target_bytes).cast("bigint").alias("mq_parts"))
+        done = todo.join(over, "mq_range", "left_anti").join(dealt, "mq_range", "left")
+        digits = F.lpad(F.pmod("mq_row", "mq_parts").cast("string"), 16, "0")
+        parts.append(done.withColumn("mq_range", F.when(F.col("mq_parts").isNotNull(), F.concat("mq_range", digits)).otherwise(F.col("mq_range"))).select(*todo.columns))
         if over.isEmpty():
             break
-        oversample *= 8
-        cuts = _splitters(rows.join(over, "mq_range", "left_semi"), cols, target_bytes, oversample)
-        if cuts:
-            rows = written(_assign(rows, cuts, cols))
+        rest = todo.join(over, "mq_range", "left_semi")
+        todo = written(_assign(rest, written(_splitters(rest, cols, target_bytes, oversample, fan)), cols))
+        oversample *= 2
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = written(rows)
     # only the ranges, one row each, are ranked in one task
-    ranked = by.select("mq_range", (F.row_number().over(Window.orderBy("mq_range")) - 1).alias("shard"))
-    return rows.join(ranked, "mq_range").select("mq_id", "mq_tie", "shard", "mq_size")
-
-
-def write_shards(docs: DataFrame, path: str, target_bytes: int = TARGET, oversample: int = OVERSAMPLE, slack: float = SLACK, keys: tuple[str, ...] = ("source", "doc_id"), id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as Parquet, one folder for each shard of shard_ids."""
-    ids = _placed(docs, target_bytes, oversample, slack, keys, id_col, text_col).select("mq_id", "mq_tie", "shard").distinct()
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids["mq_id"]) & (F.xxhash64(docs[id_col], docs[text_col]) == ids["mq_tie"])).drop("mq_id", "mq_tie")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    ranked = rows.select("mq_range").distinct().select("mq_range", (F.row_number().over(Window.orderBy("mq_range")) - 1).alias("shard"))
+    return rows.join(written(ranked), "mq_range").select("mq_id", *cols, "mq_tie", "shard", "mq_size")
+
+
+def write_shards(docs: DataFrame, path: str, target_bytes: int = TARGET, oversample: int = OVERSAMPLE, slack: float = SLACK, keys: tuple[str, ...] = ("source", "doc_id"), id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> str:
+    """Range-partition the records: docs as Parquet under path, one folder for each shard of shard_ids, all columns as
+    they are, each row once. The name of the folders' column, which is given back, is shard, or mq_shard where docs
+    has a column of that name. Rows repeated (same keys, id and text) that fill several shards are dealt out to these.
+    Nulls and empty texts are as in shard_ids; an empty table writes no shard."""
+    cols, name = [f"mq_k{i}" for i in range(len(keys))], "mq_shard" if "shard" in docs.columns else "shard"
+    placed = _placed(docs, target_bytes, oversample, slack, keys, id_col, text_col, fan)
+    where = written(placed.groupBy(*cols, "mq_tie").agg(F.min("shard").alias("mq_first"), (F.max("shard") - F.min("shard") + 1).alias("mq_over")))
+    same = F.xxhash64(docs[id_col], docs[text_col]) == where["mq_tie"]
+    for k, c in zip(keys, cols):
+        same &= docs[k].eqNullSafe(where[c])
+    # texts travel once, to their shards
+    shard = where["mq_first"] + F.pmod(F.monotonically_increasing_id(), where["mq_over"])
+    out = docs.join(where, same).select(*[docs[f"`{c}`"] for c in docs.columns], shard.alias(name))
+    out.repartition(name).write.partitionBy(name).parquet(path)
+    return name
+
+
+def sharded(docs: DataFrame, path: str, **options) -> DataFrame:
+    """(doc_id, shard, n_bytes) of docs as write_shards wrote them under path."""
+    name = write_shards(docs, path, **options)
+    read = docs.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{name}` int").parquet(path)
+    return read.select("doc_id", F.col(name).alias("shard"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
