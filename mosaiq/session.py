@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 _FOLDERS: dict[str, list[str]] = {}
 
 
-def build_session(app: str = "mosaiq", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """A session with the settings the engine is planned for (AQE, UTC, Arrow)."""
+def build_session(app: str = "mosaiq", master: str | None = None, partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session with the settings the engine is planned for (AQE, UTC, Arrow). shared: a folder that all executors see,
+    for what is written on the way; a cluster needs one unless its own configuration names it."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -26,6 +27,8 @@ def build_session(app: str = "mosaiq", master: str | None = None, partitions: in
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return builder.getOrCreate()
 
 
