@@ -149,8 +149,7 @@ def _signed(docs: DataFrame, k: int, m: int, width: int, id_col: str, text_col:
                 part = batch.slice(i, upto - i)
                 hashes, offsets = shingles(*_lower(part.column(4).fill_null("").to_pylist()), width)
                 keys = half_keys(hashes, offsets, k, m)
-                none = np.append(np.diff(offsets) == 0, False)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 2 * m, dtype=np.int32), mask=none), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 2 * m, dtype=np.int32)), pa.array(keys.ravel()), mask=pa.array(np.diff(offsets) == 0))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], lists], ["mq_id", *_SAME, "mq_keys"])
                 i = upto
 
@@ -313,7 +312,7 @@ def _roots(docs: DataFrame, classes: DataFrame, threshold: float, width: int, m:
     for i, c in enumerate(_SAME):
         same &= rows[f"mq_d{i}"] == wanted[c]
     # rows repeated are one text
-    texts = written(rows.join(wanted, same).groupBy("node").agg(F.any_value("mq_text").alias("mq_text")))
+    texts = written(rows.join(wanted.hint("merge"), same).groupBy("node").agg(F.any_value("mq_text").alias("mq_text")))
     near = written(_verified(stars, texts, threshold, width).select("a", "b"))
     roots = written(components(near))
     placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
