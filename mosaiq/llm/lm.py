@@ -1,13 +1,16 @@
 """Language-model scoring by online logistic context mixing, in bits per byte.
 
-A byte is a path of binary decisions in a code tree (Huffman, by the stream's bytes). For each decision several predictors, counts in tables
-addressed by a hash of their context (last byte, last three bytes, word so far) and the tree node, give log odds.
-A logistic mixer weighs them with weights that the node selects, and a last table refines its answer by what
-happened before at that node and confidence. All parts learn online from the text they have just predicted.
-
-The corpus is split by hash into streams of a set size; one task learns from a stream while it scores it, so the
-number of models follows the corpus and all of its text is learnt from. Inside a stream numpy works on blocks of
-bytes: a block is predicted with what was learnt before it, then learnt.
+A byte is a path of binary decisions in a code tree (Huffman, by the stream's bytes). For each decision several
+predictors, counts in tables addressed by a hash of their context (the bytes before, the word so far) and the tree
+node, give log odds; a match predictor finds where the last MATCH bytes stand elsewhere in the stream and expects the
+byte that follows there. A logistic mixer weighs them with weights that the node and the match's length select, and a
+last table refines its answer by what happened before at that node and confidence. All parts learn online from the
+text they have just predicted.
+
+Each distinct text is scored once, with the number of its copies. Distinct texts are split by hash into streams of a
+set size; one task learns from a stream while it scores it, so the number of models follows the corpus and all of its
+text is learnt from. Inside a stream numpy works on blocks of bytes: a block is predicted with what was learnt before
+it, then learnt.
 """
 
 from __future__ import annotations
@@ -19,13 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm.exact import _address
+
 STREAM = 16 << 20  # bytes of text that one model learns from, on average
-BLOCK = 16_384  # bytes predicted before they are learnt
+BLOCK = 8192  # bytes predicted before they are learnt
 TABLE_BITS = 20  # slots of a predictor's table, as a power of two
-WARM = 1 << 19  # bytes at a stream's start that are scored again, by a model that has learnt as many that follow them
-_CONTEXTS = 3
+WARM = 1 << 18  # bytes at a stream's start that are scored again, by a model that has learnt as many that follow them
+ORDERS = (2, 4)  # bytes of context; one predictor more takes the word so far
+MATCH = 12  # bytes that must be the same for a match to begin
+_SAMPLED = 3  # bits of a place's hash that must be 0 for matches to begin there: content picks one place in eight
+_GATES = 4  # sets of weights: no match, and matches of under 16, under 32 and more bytes
+_LENGTHS = 8  # steps of a match's length in the match predictor
+_CONTEXTS = len(ORDERS) + 1
 _BUCKETS = 24  # steps of confidence in the refining table
 _RATE = 0.3
+_STRETCH = 1 << 20  # bytes of whole documents for which contexts are made at once
 
 
 def _tree(frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,25 +82,77 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     n = len(data)
     wide = data.astype(np.uint32)
     at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    back = []
-    for k in (1, 2, 3):
-        b = np.zeros(n, dtype=np.uint32)
-        b[k:] = wide[:-k] + np.uint32(1) if n > k else 0
-        b[at < k] = 0
-        back.append(b)
-    letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
-    stop = np.where(letter, 0, np.arange(1, n + 1))  # one past the last byte that is no letter
-    start = np.maximum(np.maximum.accumulate(np.concatenate([[0], stop[:-1]])), np.repeat(offsets[:-1], np.diff(offsets)))
-    power = np.full(n, _POWER, dtype=np.uint32)
-    inverse = np.full(n, _INVERSE, dtype=np.uint32)
-    if n:
-        power[0] = inverse[0] = 1
+    out = []
     with np.errstate(over="ignore"):
+        h = np.zeros(n, dtype=np.uint32)
+        for k in range(1, max(ORDERS) + 1):
+            h *= _POWER
+            if n > k:
+                h[k:] += np.where(at[k:] < k, np.uint32(0), wide[:-k] + np.uint32(1))
+            if k in ORDERS:
+                out.append(_mix32(h + np.uint32(k * 0x10000000)))
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
+        stop = np.where(letter, 0, np.arange(1, n + 1))  # one past the last byte that is no letter
+        start = np.maximum(np.maximum.accumulate(np.concatenate([[0], stop[:-1]])), np.repeat(offsets[:-1], np.diff(offsets)))
+        power = np.full(n, _POWER, dtype=np.uint32)
+        inverse = np.full(n, _INVERSE, dtype=np.uint32)
+        if n:
+            power[0] = inverse[0] = 1
         power, inverse = np.multiply.accumulate(power, dtype=np.uint32), np.multiply.accumulate(inverse, dtype=np.uint32)
         sums = np.zeros(n + 1, dtype=np.uint32)
         np.cumsum((wide + np.uint32(1)) * power, out=sums[1:])
         word = (sums[np.arange(n)] - sums[start]) * inverse[start]
-        return [_mix32(back[0] + np.uint32(0x10000)), _mix32(back[0] << np.uint32(20) ^ back[1] << np.uint32(10) ^ back[2] ^ np.uint32(0x40000000)), _mix32(word * np.uint32(0x2C1B3C6D) + np.uint32(0x9E3779B9))]
+        out.append(_mix32(word * np.uint32(0x2C1B3C6D) + np.uint32(0x9E3779B9)))
+    return out
+
+
+def _stretches(offsets: np.ndarray, i: int, upto: int):
+    """(first, last) of whole documents, about _STRETCH bytes each."""
+    while i < upto:
+        j = min(upto, max(i + 1, int(np.searchsorted(offsets, offsets[i] + _STRETCH, side="right")) - 1))
+        yield i, j
+        i = j
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, source): places at which a match begins, and where in the stream the same MATCH bytes end otherwise: the
+    last time before, or, if there is none, the first time in a later document."""
+    places, hashes = [], []
+    for i, j in _stretches(offsets, 0, len(offsets) - 1):
+        low, these = int(offsets[i]), data[offsets[i] : offsets[j]]
+        if len(these) <= MATCH:
+            continue
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(these) - MATCH, dtype=np.uint64)  # of the MATCH bytes before each place
+            for k in range(MATCH):
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += these[k : k + len(h)]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+        picked = np.flatnonzero((h >> np.uint64(64 - _SAMPLED)) == 0)
+        place = picked + low + MATCH
+        inside = place - offsets[np.searchsorted(offsets, place, side="right") - 1] >= MATCH
+        places.append(place[inside])
+        hashes.append(h[picked[inside]])
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place, h = np.concatenate(places), np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    h, at = h[order], place[order]
+    document = np.searchsorted(offsets, at, side="right")
+    same = h[1:] == h[:-1]
+    source = np.full(len(at), -1, dtype=np.int64)
+    source[1:][same] = at[:-1][same]
+    # of places with no earlier one, the next ones of the same document are passed over
+    first, changes = np.flatnonzero(source < 0), np.append(np.flatnonzero((document[1:] != document[:-1]) | ~same) + 1, len(at))
+    after = changes[np.searchsorted(changes, first, side="right")] if len(first) else first
+    there = np.minimum(after, len(at) - 1)
+    found = (after < len(at)) & (h[there] == h[first])
+    source[first[found]] = at[there[found]]
+    back = np.empty_like(source)
+    back[order] = source
+    some = back >= 0
+    return place[some], back[some]
 
 
 class Mixer:
@@ -100,24 +163,45 @@ class Mixer:
         self.mask = np.uint32((1 << bits) - 1)
         nodes = self.nodes = int(node.max()) + 1
         self.counts = [np.zeros(2 << bits, dtype=np.float32) for _ in range(_CONTEXTS)]
-        self.weights = [np.full(nodes, 0.4, dtype=np.float32) for _ in range(_CONTEXTS)]
-        self.squares = [np.full(nodes, 1e-3) for _ in range(_CONTEXTS)]
+        self.both = [c.view(np.complex64) for c in self.counts]  # a slot's two counts as one number
+        self.matched = np.tile(np.array([1.0, 3.0]), (_LENGTHS, 1))  # misses and hits by the match's length
+        self.weights = [np.full(nodes * _GATES, 0.4 if c < _CONTEXTS else 0.8, dtype=np.float32) for c in range(_CONTEXTS + 1)]
+        self.squares = [np.full(nodes * _GATES, 1e-3) for _ in range(_CONTEXTS + 1)]
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - _BUCKETS / 2 + 0.5) / 2))
         self.refine = np.stack([np.tile(4 * (1 - centre), nodes), np.tile(4 * centre, nodes)])
         self.refined = self.refine[1] / self.refine.sum(axis=0)
         self.spread = _mix32(np.arange(1, nodes + 1, dtype=np.uint32))
+        # node, bit and spread of each step of each byte in one number, so that one look-up gives all three
+        self.packed = self.node.astype(np.uint64) | self.bit.astype(np.uint64) << np.uint64(16) | self.spread[self.node].astype(np.uint64) << np.uint64(32)
 
-    def block(self, data: np.ndarray, hashes: list[np.ndarray], learn: bool = True) -> np.ndarray:
-        """Bits that each byte of the block costs; then the block is learnt."""
+    def block(self, data: np.ndarray, hashes: list[np.ndarray], guess: np.ndarray | None = None, size: np.ndarray | None = None, learn: bool = True) -> np.ndarray:
+        """Bits that each byte of the block costs; then the block is learnt. guess: the byte that a match expects, -1
+        for none; size: the match's length."""
         length = self.length.take(data)
         ends = np.cumsum(length)
-        first = data * np.int64(self.steps) - (ends - length)
-        path = np.repeat(first, length)
+        path = np.repeat(data * np.int64(self.steps) - (ends - length), length)
         path += np.arange(ends[-1])
-        node = self.node.take(path, mode="clip")
-        bit = self.bit.take(path, mode="clip")
+        packed = self.packed.take(path, mode="clip")
+        spread = packed.view(np.uint32)[1::2]
+        node = (packed & np.uint64(0xFFFF)).view(np.int64)
+        bit = ((packed >> np.uint64(16)) & np.uint64(1)).view(np.int64)
         target = bit.astype(np.float32)
-        spread = self.spread.take(node, mode="clip")
+        gated = node
+        says = None
+        if guess is not None and (have := np.flatnonzero(guess >= 0)).size:
+            step = np.minimum(size[have].astype(np.int64) // 8, _LENGTHS - 1)
+            gate = np.zeros(len(data), dtype=np.int64)
+            gate[have] = np.minimum(step // 2 + 1, _GATES - 1) * self.nodes
+            gated = node + np.repeat(gate, length)
+            # the guess speaks at the nodes that its own path has as well
+            long = length[have]
+            upto = np.cumsum(long)
+            there = np.repeat(ends[have] - upto, long) + np.arange(upto[-1])
+            own = path.take(there) + np.repeat((guess[have].astype(np.int64) - data[have]) * self.steps, long)
+            on = self.node.take(own, mode="clip") == node.take(there)
+            says, expected, kind = there[on], self.bit.take(own[on], mode="clip"), np.repeat(step, long)[on]
+            strength = np.log((self.matched[:, 1] + 0.3) / (self.matched[:, 0] + 0.3)).astype(np.float32)
+            voice = strength.take(kind) * (2 * expected - 1).astype(np.float32)
         total = np.zeros(len(node), dtype=np.float32)
         slots, odds = [], []
         for c in range(_CONTEXTS):
@@ -125,17 +209,15 @@ class Mixer:
             slot ^= spread
             slot &= self.mask
             slot = slot.astype(np.int64)
-            slot <<= 1
-            zeros = self.counts[c].take(slot, mode="clip")
-            slot += 1
-            s = self.counts[c].take(slot, mode="clip")
-            s += np.float32(0.15)
-            zeros += np.float32(0.15)
-            s /= zeros
+            pair = self.both[c].take(slot, mode="clip")
+            s = pair.imag + np.float32(0.15)
+            s /= pair.real + np.float32(0.15)
             np.log(s, out=s)
-            total += self.weights[c].take(node, mode="clip") * s
+            total += self.weights[c].take(gated, mode="clip") * s
             slots.append(slot)
             odds.append(s)
+        if says is not None:
+            total[says] += self.weights[_CONTEXTS].take(gated[says]) * voice
         np.clip(total, -15, 15, out=total)
         p = np.exp(-total)
         p += 1
@@ -150,79 +232,124 @@ class Mixer:
         chance *= np.float32(0.5)
         chance -= 1 - target
         np.abs(chance, out=chance)  # what the decision that came was given
-        upto = np.cumsum(np.log2(chance), dtype=np.float64)
+        cost = np.add.reduceat(np.log(chance), ends - length)
         if learn:
             error = target - p
             for c in range(_CONTEXTS):
+                slots[c] <<= 1
                 slots[c] += bit
-                slots[c] -= 1
                 np.add.at(self.counts[c], slots[c], np.float32(1))
-                gradient = np.bincount(node, weights=error * odds[c], minlength=self.nodes)
-                self.squares[c] += gradient * gradient
-                self.weights[c] += (_RATE * gradient / np.sqrt(self.squares[c])).astype(np.float32)
+                self._weigh(c, gated, error * odds[c])
+            if says is not None:
+                self._weigh(_CONTEXTS, gated[says], error[says] * voice)
+                hit = (expected == bit[says]).astype(np.int64)
+                self.matched += np.bincount(2 * kind + hit, minlength=2 * _LENGTHS).reshape(-1, 2)
             cell += bit * (self.nodes * _BUCKETS)
             self.refine += np.bincount(cell, minlength=2 * self.nodes * _BUCKETS).reshape(2, -1)
             self.refined = self.refine[1] / self.refine.sum(axis=0)
-        return -np.diff(upto.take(ends - 1), prepend=0.0)
+        return cost.astype(np.float64) * (-1 / np.log(2))
+
+    def _weigh(self, c: int, gated: np.ndarray, slope: np.ndarray) -> None:
+        gradient = np.bincount(gated, weights=slope, minlength=self.nodes * _GATES)
+        self.squares[c] += gradient * gradient
+        self.weights[c] += (_RATE * gradient / np.sqrt(self.squares[c])).astype(np.float32)
+
 
+def guesses(data: np.ndarray, offsets: np.ndarray, low: int, high: int, place: np.ndarray, source: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(guess, size) for data[low:high], whole documents. A match goes on until it is wrong for once, or the document
+    ends. In the documents of own, which have copies, the copy is the match, from the byte after the first MATCH on."""
+    n = high - low
+    i, j = np.searchsorted(place, [low, high])
+    began = np.full(n, -1, dtype=np.int64)
+    began[place[i:j] - low] = np.arange(i, j)
+    began = np.maximum.accumulate(began) if n else began
+    d, e = np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high, side="left")
+    sizes = np.diff(offsets[d : e + 1])
+    start = np.repeat(offsets[d:e], sizes)
+    live = np.flatnonzero(began >= 0)
+    live = live[place[began[live]] >= start[live]]
+    since = live + low - place[began[live]]
+    where = source[began[live]] + since
+    good = where < len(data)
+    live, since, where = live[good], since[good], where[good]
+    guess = np.full(n, -1, dtype=np.int16)
+    size = np.zeros(n, dtype=np.int32)
+    wrong = np.full(n + 1, -1, dtype=np.int64)
+    bad = live[data[where] != data[live + low]]
+    wrong[bad + 1] = bad
+    wrong = np.maximum.accumulate(wrong)  # the last wrong place before each
+    sound = wrong[live] < live - since
+    live = live[sound]
+    guess[live], size[live] = data[where[sound]], MATCH + since[sound]
+    if own.any():
+        at = np.arange(low, high) - start
+        copied = np.flatnonzero(np.repeat(own[d:e], sizes) & (at >= MATCH))
+        guess[copied], size[copied] = data[copied + low], at[copied]
+    return guess, size
 
-def _learn(mixer: Mixer, data: np.ndarray, offsets: np.ndarray, i: int, upto: int, block: int) -> np.ndarray:
+
+def _learn(mixer: Mixer, data: np.ndarray, offsets: np.ndarray, i: int, upto: int, block: int, match: tuple) -> np.ndarray:
     """Documents i to upto go through the mixer: the bits that each costs."""
-    bits, part = np.zeros(max(0, upto - i)), 1 << 20
-    first = i
+    bits, first = np.zeros(max(0, upto - i)), i
     # contexts and costs are made for stretches of whole documents, so that what is held stays small
-    while i < upto:
-        j = min(upto, max(i + 1, int(np.searchsorted(offsets, offsets[i] + part, side="right")) - 1))
+    for i, j in _stretches(offsets, i, upto):
         low, high = int(offsets[i]), int(offsets[j])
         if high > low:
             these = data[low:high]
             hashes = contexts(these, offsets[i : j + 1] - low)
-            cost = [mixer.block(these[a : a + block], [h[a : a + block] for h in hashes]) for a in range(0, high - low, block)]
+            guess, size = guesses(data, offsets, low, high, *match)
+            cost = [mixer.block(these[a : a + block], [h[a : a + block] for h in hashes], guess[a : a + block], size[a : a + block]) for a in range(0, high - low, block)]
             bits[i - first : j - first] = np.add.reduceat(np.append(np.concatenate(cost), 0), offsets[i:j] - low)
-        i = j
     return bits * (np.diff(offsets[first : upto + 1]) > 0) if upto > first else bits
 
 
-def score(texts: list[bytes], warm: int = WARM, block: int = BLOCK) -> np.ndarray:
-    """Bits that each text costs, as one stream in the order given; the first warm bytes after those that follow them."""
+def score(texts: list[bytes], copied: np.ndarray | None = None, warm: int = WARM, block: int = BLOCK) -> np.ndarray:
+    """Bits that each text costs, as one stream in the order given; the first warm bytes after those that follow them.
+    copied: whether a text has copies beside it."""
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     data = np.frombuffer(b"".join(texts), np.uint8)
+    own = np.zeros(len(texts), dtype=bool) if copied is None else copied
+    match = (*anchors(data, offsets), own)
     frequency = np.bincount(data, minlength=256)
-    bits = _learn(Mixer(frequency), data, offsets, 0, len(texts), block)
+    bits = _learn(Mixer(frequency), data, offsets, 0, len(texts), block, match)
     head = int(np.searchsorted(offsets, min(warm, len(data) // 2), side="right")) - 1
     if head > 0:
         after = min(int(np.searchsorted(offsets, offsets[head] + warm)), len(texts))
         mixer = Mixer(frequency)
-        _learn(mixer, data, offsets, head, after, block)
-        bits[:head] = _learn(mixer, data, offsets, 0, head, block)
+        _learn(mixer, data, offsets, head, after, block, match)
+        bits[:head] = _learn(mixer, data, offsets, 0, head, block, match)
     return bits
 
 
 def lm_scores(docs: DataFrame, stream_bytes: int = STREAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, total_bits, bits_per_byte), one row for each row of docs.
 
-    A document's bits are those of a model that has learnt the documents before it in its stream (order: a hash of
-    id and text). The first WARM bytes of a stream, at most half of it, have no such past: they are scored by another
-    model, that has learnt the WARM bytes after them. No document is scored by a model that has learnt it. A null
-    text has nulls; the empty text has 0 bits and a null rate. Repeated rows follow one another in one stream: the
-    later ones are cheap, which is what repetition is. Texts of any length are scored whole. A null id is carried;
-    other columns are not read. An empty table gives an empty result.
+    A text's bits are those of a model of its stream without the text itself: counts and weights have learnt the texts
+    before it (order: a hash of the text; the first WARM bytes, which have no such past, come after as many that follow
+    them), and matches are looked for in the whole stream, in what precedes and in later texts. A text that occurs
+    several times is scored once, as a text whose copy is in the corpus, and all its rows get that score; so rows
+    repeated don't make a stream longer. A null text has nulls; the empty text has 0 bits and a null rate. Texts of any
+    length are scored whole. A null id is carried; other columns are not read. An empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    same = ["mq_len", "mq_hash", "mq_more"]
+    keys = [*_address(text_col), F.xxhash64(F.lit(6), F.col(text_col)).alias("mq_more")]
+    rows = docs.where(F.col(text_col).isNotNull())
     total = docs.agg(F.sum(F.octet_length(text_col).cast("bigint"))).first()[0] or 0
     streams = max(1, -(-total // stream_bytes))
-    order = F.xxhash64(F.lit(7), id_col, text_col)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("mq_id"), order.alias("mq_h"), F.pmod(F.xxhash64(F.lit(13), order), F.lit(streams)).alias("mq_stream"), F.col(text_col).cast("binary").alias("mq_text"))
+    distinct = rows.groupBy(F.col(text_col).alias("mq_text")).agg(F.count(F.lit(1)).alias("mq_n"))
+    distinct = distinct.select(*[c.alias(n) for c, n in zip([F.octet_length("mq_text").cast("bigint"), F.xxhash64("mq_text"), F.xxhash64(F.lit(6), F.col("mq_text"))], same)], (F.col("mq_n") > 1).alias("mq_copied"), F.col("mq_text").cast("binary").alias("mq_text"))
+    distinct = distinct.withColumn("mq_stream", F.pmod(F.xxhash64(F.lit(13), "mq_hash"), F.lit(streams)))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("mq_h").combine_chunks() if table.num_rows else table
+        table = table.sort_by([(c, "ascending") for c in ("mq_hash", "mq_more", "mq_len")]).combine_chunks() if table.num_rows else table
         texts = [x.as_buffer().to_pybytes() for x in table.column("mq_text")]
-        bits = score(texts)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        rate = np.divide(bits, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
-        return pa.table({id_col: table.column("mq_id"), "n_bytes": pa.array(sizes), "total_bits": pa.array(bits), "bits_per_byte": pa.array(rate, mask=sizes == 0)})
+        bits = score(texts, np.array(table.column("mq_copied").to_pylist(), dtype=bool))
+        return pa.table({**{c: table.column(c) for c in same}, "mq_bits": pa.array(bits)})
 
-    found = rows.groupBy("mq_stream").applyInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, total_bits double, bits_per_byte double")
+    found = distinct.groupBy("mq_stream").applyInArrow(run, "mq_len bigint, mq_hash bigint, mq_more bigint, mq_bits double")
+    scored = rows.select(F.col(id_col).alias("mq_id"), *keys).join(found, same)
+    rate = F.when(F.col("mq_len") > 0, F.col("mq_bits") / F.col("mq_len"))
+    out = scored.select(F.col("mq_id").alias(id_col), F.col("mq_len").alias("n_bytes"), F.col("mq_bits").alias("total_bits"), rate.alias("bits_per_byte"))
     none = docs.where(F.col(text_col).isNull()).select(F.col(id_col), F.lit(None).cast("bigint").alias("n_bytes"), F.lit(None).cast("double").alias("total_bits"), F.lit(None).cast("double").alias("bits_per_byte"))
-    return found.unionByName(none)
+    return out.unionByName(none)
