@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.llm import bpe, exact, langid, lm, media, minhash, mixing, pii, queries, secret_scan, shard
+from mosaiq.session import shared_folder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "the of and to in for is on that by this with you it not or be are from at as your all have new more an was we will".split()
@@ -34,7 +35,7 @@ def odd(spark):
         (9, f"my key {key} and mail me.x@ex.org or 4111 1111 1111 1111", "en", "b", 2), (9, "another text under id nine", "en", "b", 2), (10, "\U0001f600 é 中文字", "en", "c", 5), (11, prose(3, 300), "en", "c", 5),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    clash = {n: F.lit(i) for i, n in enumerate(["rule", "kind", "start", "end", "copies", "shard", "group_id", "first_id", "identified", "bits", "tokens", "mq_id", "mq_len", "mq_hash", "mq_text", "node", "root", "a", "b", "key", "value"])}
+    clash = {n: F.lit(i) for i, n in enumerate(["rule", "kind", "start", "end", "copies", "shard", "group_id", "first_id", "identified", "bits", "tokens", "mq_id", "mq_len", "mq_hash", "mq_text", "node", "root", "a", "b", "key", "value", "mq_rows", "mq_copies", "mq_i", "mq_first", "mq_times", "mq_range", "mq_tie", "l", "r", "mq_name", "mq_block", "mq_bits", "s", "at"])}
     return df.withColumns(clash).cache()
 
 
@@ -118,6 +119,14 @@ def test_secret_scan_of_wide_rules_is_where_re_is_and_linear():
     assert len(scanner.scan(b"my_token='abcdefgh-ijklmnop' -AIza" * 20_000)) == 20_000
 
 
+def test_secret_classes_take_whole_characters():
+    for pattern, text in [("[\u00e9]z", "a\u00e9z"), ("x[^a]y", "x\u00e9y xay x\u20acy"), ("x.y", "x\u00e9y x\ny"), ("x\\Wy", "x-y x\u00e9y xay"), ("[\u00e9-\u00ef]+q", "\u00e8\u00e9\u00eaq"), ("x[^b\\d]y", "x1y x\u00e9y x y")]:
+        data = text.encode()
+        assert [data[a:b].decode() for _, a, b in secret_scan.Scanner({"r": pattern}).scan(data)] == [m.group() for m in re.finditer(pattern, text, re.ASCII)], pattern
+    with pytest.raises(ValueError):
+        secret_scan.Scanner({"r": "[^\u00e9]"})
+
+
 def test_secret_automaton_is_minimal_and_runs_are_linear():
     d = secret_scan.Dfa([secret_scan._body("(?:ab|cb)*x")[1]], search=False)
     assert d.states == 4  # start, after a or c, done, dead
@@ -185,6 +194,63 @@ def test_png_kinds_and_damage():
             media.decode(bad)
 
 
+def _plain_luma(png: bytes) -> np.ndarray:
+    """An 8-bit grey PNG, read with plain loops."""
+    at, packed = 8, b""
+    while at < len(png):
+        size, kind = struct.unpack_from(">I4s", png, at)
+        if kind == b"IHDR":
+            w, h = struct.unpack_from(">II", png, at + 8)
+        packed += png[at + 8 : at + 8 + size] * (kind == b"IDAT")
+        at += 12 + size
+    return np.array(_naive_unfilter(zlib.decompress(packed), h, w, 1))
+
+
+def _plain_hash(luma: np.ndarray) -> list[bool]:
+    """Means over 32 x 32 cells by area, each pixel dealt out to the cells that it overlaps; then the cosine sums."""
+    small = luma.astype(float)
+    for _ in range(2):
+        n, cells = len(small), np.zeros((32, small.shape[1]))
+        for y in range(n):
+            for k in range(32):
+                share = min((k + 1) * n / 32, y + 1) - max(k * n / 32, y)
+                if share > 0:
+                    cells[k] += small[y] * share / (n / 32)
+        small = cells.T
+    low = [sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * v / 64) * np.cos(np.pi * (2 * x + 1) * u / 64) for y in range(32) for x in range(32)) for v in range(8) for u in range(8)]
+    return [x - np.median(low[1:]) for x in low]
+
+
+def test_media_query_against_plain_loops(spark, sf):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in queries.QUERIES["op2_media_columns"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    for i, html in pages.items():
+        data = html.encode()
+        assert (got[i]["width"], got[i]["height"], got[i]["error"]) == (64, max(1, -(-len(data) // 64)), None)
+        assert got[i]["mean"] == pytest.approx(sum(data) / (64 * got[i]["height"]), rel=1e-6)
+    for i in sorted(pages)[:6]:
+        luma = _plain_luma(media.render(pages[i].encode()))
+        assert luma.astype(np.uint8).tobytes().rstrip(b"\0") == pages[i].encode()
+        bits = np.unpackbits(np.frombuffer(got[i]["hash"], np.uint8))
+        assert all(bool(b) == (d > 0) for b, d in zip(bits, _plain_hash(luma)) if abs(d) > 0.05)
+
+
+def test_transparent_colours_and_deep_samples():
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    assert media.decode(_png(b"\0\0\x09", 2, 1, 8, 0, chunk(b"tRNS", b"\0\0"))).tolist() == [[255.0, 9.0]]
+    assert media.decode(_png(b"\0\1\2\3\1\2\4", 2, 1, 8, 2, chunk(b"tRNS", b"\0\1\0\2\0\3")))[0].tolist() == pytest.approx([255.0, 0.299 + 1.174 + 0.456], abs=1e-4)
+    assert media.decode(_png(b"\0\x12\x34", 1, 1, 16, 0))[0, 0] == pytest.approx(0x1234 / 257)
+    assert media.decode(_png(b"\0\x12\x34\x12\x35", 2, 1, 16, 0, chunk(b"tRNS", b"\x12\x35")))[0, 1] == 255
+    with pytest.raises(media.PngError, match="zlib"):
+        media.decode(_png(b"\0", 1 << 30, 1 << 30, 8, 0))  # claims more than its data can hold
+    tall = media.render(bytes(range(251)) * 3000)
+    many = media.decoded([tall, media.render(b"abc"), b"", tall])
+    assert (many[0] == many[3]).all() and many[0].astype(np.uint8).tobytes()[: 251 * 3000] == bytes(range(251)) * 3000 and isinstance(many[2], media.PngError)
+
+
 def test_hash_is_the_cosine_transform_and_near_pictures_are_near():
     rng = np.random.default_rng(0)
     pic = rng.random((64, 96)) * 255
@@ -227,47 +293,88 @@ def test_pivot_keeps_sums_and_expectations():
     assert np.abs(total / 4000 - p).max() < 0.035
 
 
-def _mix_brute(rows, seed, leaf, fan):
-    """The same tree over a list, with the table's hashes: (h, content, length, buckets, p) by row."""
-    done, level, todo = {}, 0, {i: r for i, r in enumerate(rows)}
-    bucket = {i: r[0] % r[3] for i, r in todo.items()}
-    count = {i: r[3] for i, r in todo.items()}
-    p = {i: r[4] for i, r in todo.items()}
+def _splitmix(h: int, level: int) -> float:
+    mask = (1 << 64) - 1
+    z = (h + 0x9E3779B97F4A7C15 * (level + 1)) & mask
+    z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+    z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+    return (((z ^ z >> 31) >> 11) + 0.5) / 2.0**53
+
+
+def _whole(x: float) -> bool:
+    return x < 1e-9 or x > 1 - 1e-9
+
+
+def _plain_pivot(p: dict, order: list, u: dict) -> None:
+    """Pivotal rounding by the book: as long as two are open, mass moves between the first two."""
+    last = None
+    for i in order:
+        if _whole(p[i]):
+            continue
+        if last is None:
+            last = i
+            continue
+        a, b = p[last], p[i]
+        if a + b < 1:
+            p[last], p[i] = (a + b, 0.0) if u[i] < a / (a + b) else (0.0, a + b)
+        else:
+            p[last], p[i] = (1.0, a + b - 1) if u[i] < (1 - b) / (2 - a - b) else (a + b - 1, 1.0)
+        last = next((j for j in (last, i) if not _whole(p[j])), None)
+
+
+def _mix_brute(rows, leaf, fan):
+    """The tree over a list of (hash, content hash, length, documents of the source, fraction, source)."""
+    p, level, done = {i: r[4] for i, r in enumerate(rows)}, 0, {}
+    count = {i: -(-r[3] // leaf) for i, r in enumerate(rows)}
+    bucket = {i: rows[i][0] % count[i] for i in p}
     while p:
         groups = defaultdict(list)
         for i in p:
-            groups[(rows[i][5], bucket[i])].append(i)
+            groups[rows[i][5], bucket[i]].append(i)
         for ids in groups.values():
-            ids.sort(key=lambda i: (rows[i][0], rows[i][1], rows[i][2]))
-            u = mixing._uniform(np.array([rows[i][0] for i in ids], np.int64), level).tolist()
-            for i, x in zip(ids, mixing.pivot([p[i] for i in ids], u)):
-                p[i] = x
-        done |= {i: x for i, x in p.items() if not 1e-9 < x < 1 - 1e-9}
-        p = {i: x for i, x in p.items() if i not in done}
+            _plain_pivot(p, sorted(ids, key=lambda i: rows[i][:3]), {i: _splitmix(rows[i][0], level) for i in ids})
+        done |= {i: x for i, x in p.items() if _whole(x)}
+        p = {i: x for i, x in p.items() if not _whole(x)}
         level += 1
         if p and max(count[i] for i in p) == 1:
-            ids = sorted(p, key=lambda i: (rows[i][0], rows[i][1], rows[i][2]))
-            h = np.array([rows[i][0] for i in ids], np.int64)
-            q = mixing.pivot([p[i] for i in ids], mixing._uniform(h, level).tolist())
-            done |= {i: float(v < x) if 0 < x < 1 else x for i, x, v in zip(ids, q, mixing._uniform(h, level + 1))}
+            ids = sorted(p, key=lambda i: rows[i][:3])
+            _plain_pivot(p, ids, {i: _splitmix(rows[i][0], level) for i in ids})
+            done |= {i: x if _whole(x) else float(_splitmix(rows[i][0], level + 1) < x) for i, x in p.items()}
             break
         for i in p:
             bucket[i], count[i] = bucket[i] // fan, -(-count[i] // fan)
     return {i: round(x) for i, x in done.items()}
 
 
-def test_mixing_against_the_same_tree_on_lists(spark, sf):
+@pytest.mark.parametrize("leaf, fan", [(3, 2), (mixing.LEAF, mixing.FAN)])
+def test_mixing_against_the_same_tree_on_lists(leaf, fan, spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    leaf, fan = 3, 2
-    out = mixing._decided(docs, None, 0.7, None, 17, leaf, fan, "doc_id", "source", "text").collect()
-    frac = [r for r in out if 1e-9 < r["mq_due"] - np.floor(r["mq_due"] + 1e-9) < 1 - 1e-9]
-    n = defaultdict(int)
-    for r in out:
-        n[r["mq_source"]] += 1
-    by = {r["mq_id"]: r for r in docs.select(F.col("doc_id").alias("mq_id"), F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")).alias("h")).collect()}
-    rows = [(by[r["mq_id"]]["h"], r["mq_hash"], r["mq_len"], -(-n[r["mq_source"]] // leaf), r["mq_due"] - np.floor(r["mq_due"]), r["mq_source"]) for r in frac]
-    want = _mix_brute(rows, 17, leaf, fan)
-    assert [int(np.floor(r["mq_due"])) + want[i] for i, r in enumerate(frac)] == [r["mq_copies"] for r in frac]
+    told = docs.select("doc_id", "source", F.octet_length("text").alias("n"), F.xxhash64("text").alias("c"), F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")).alias("h")).collect()
+    size, number = defaultdict(int), defaultdict(int)
+    for r in told:
+        size[r["source"]] += r["n"]
+        number[r["source"]] += 1
+    per = max(size[k] / size[k] ** 0.7 for k in size)
+    due = {k: per * size[k] ** 0.7 / size[k] for k in size}
+    rows = [(r["h"], r["c"], r["n"], number[r["source"]], due[r["source"]] - np.floor(due[r["source"]] + 1e-9), r["source"]) for r in told]
+    want = _mix_brute(rows, leaf, fan)
+    query = queries.QUERIES["op3_mixing"](spark, sf) if leaf == mixing.LEAF else mixing.mix_copies(docs, leaf=leaf, fan=fan)
+    got = {r["doc_id"]: r["copies"] for r in query.collect()}
+    assert got == {r["doc_id"]: int(np.floor(due[r["source"]] + 1e-9)) + want[i] for i, r in enumerate(told)}
+
+
+def test_mixing_of_repeated_rows_and_any_names(spark):
+    rows = [(1, "one text", "en", "a", 1)] * 500 + [(1, "one text", "fr", "a", 1)] * 3 + [(i, "other text of it", "en", "b", 1) for i in range(40)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("x") for n in ("mq_rows", "mq_i", "mq_copies", "mq_c0", "mq_m")})
+    weights = {"a": 3.0, "b": 1.0}
+    each = mixing.mix_copies(docs, weights, total_bytes=8000.0).collect()
+    assert len(each) == len(rows) and all(np.floor(r["expected"]) <= r["copies"] <= np.ceil(r["expected"]) for r in each)
+    out = mixing.mixed(docs, weights, total_bytes=8000.0)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in each)
+    got = sorted(tuple(r) for r in out.where("doc_id = 1").collect())
+    assert got == sorted(tuple(r) for r in mixing.mixed(docs.repartition(5), weights, total_bytes=8000.0).where("doc_id = 1").collect())
+    per = 6000 / (503 * 8)
+    assert abs(sum(r[2] == "fr" for r in got) - 3 * per) <= 3
 
 
 def test_mixing_meets_weights(spark):
@@ -374,6 +481,35 @@ def test_pii_against_plain_patterns(spark, sf):
     assert got["card"] == {(i, m) for i, t in texts.items() for m in re.findall(r"(?<!\d)[2-6]\d{15}(?!\d)", t) if pii.luhn(m)}
 
 
+def test_pii_numbers_against_plain_rules():
+    """Spans of text that is made of groups of digits and letters, against rules written out without patterns."""
+    rng = np.random.default_rng(9)
+    def iban_ok(x):
+        x = x.replace(" ", "")
+        return int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in x[4:] + x[:4])) % 97 == 1
+    def made(country, body):
+        digits = int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in body + country + "00"))
+        whole = f"{country}{98 - digits % 97:02d}{body}"
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if rng.random() < 0.5 else whole
+    for _ in range(150):
+        body = "".join(rng.choice(list("0123456789"), 18))
+        good = made("DE", body)
+        bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+        assert iban_ok(good) and not iban_ok(bad)
+        for x, want in ((good, [good]), (bad, [])):
+            text = f"pay, {x}, now"
+            assert [text[a:b] for k, a, b, _, _ in pii.spans(text) if k == "iban"] == want
+    for _ in range(400):
+        a, b, c = ("".join(rng.choice(list("0123456789"), n)) for n in (3, 2, 4))
+        before, after = rng.choice(["", "1", "-", "x", " "]), rng.choice(["", "1", "-", "x", " ", "-x"])
+        text = f"ssn {before}{a}-{b}-{c}{after}"
+        right = a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000" and not before[-1:].isdigit() and before[-1:] != "-" and not after[:1].isdigit() and after[:1] != "-"
+        assert [text[x:y] for k, x, y, _, _ in pii.spans(text) if k == "ssn"] == ([f"{a}-{b}-{c}"] if right else []), text
+    long = "x" * 100 + "@mail.example.com"
+    assert [(x, y) for _, x, y, _, _ in pii.spans(f"to {long}.")] == [(3, 3 + len(long))]
+    assert pii.spans("." * 200_000 + "@mail.example.com") == []
+
+
 # ---- 6 ----
 
 
@@ -464,6 +600,54 @@ def test_near_groups_many_copies_and_chains(spark):
     assert all(got[i] == i for i in range(1000, 1040))
 
 
+def test_near_rows_are_addressed_by_id_and_text(spark):
+    a, b = prose(31, 200), prose(32, 200)
+    near = a + " end"
+    rows = [(1, a), (1, b), (2, near), (None, near), (None, b + " end"), (3, a), (3, a), (4, None), (None, None), (5, "..."), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["group_id"], r["group_size"], r["is_duplicate"]) for r in minhash.near_groups(docs).collect()), key=repr)
+    alone = [(i, i, 1, False) for i in (4, None, 5, 6)]
+    want = [(1, 1, 5, False), (1, 1, 2, False), (2, 1, 5, True), (None, 1, 5, True), (None, 1, 2, True), (3, 1, 5, True), (3, 1, 5, True), *alone]
+    assert got == sorted(want, key=repr)
+    assert sorted(repr(tuple(r)[:2]) for r in minhash.near_dedup(docs).collect()) == sorted(map(repr, [(1, a), (1, b), (4, None), (None, None), (5, "..."), (6, "")]))
+
+
+def test_shared_passages_give_no_pairs_but_no_link_is_lost(spark):
+    """Texts half of which is one passage: none are near. A few among them are, whatever else their buckets hold."""
+    passage = " ".join(f"p{i}" for i in range(120))
+    def text(i):
+        return passage + " " + " ".join(f"w{i}x{j}" for j in range(120))
+    found = {}
+    for n in (300, 600):
+        rows = [(i, text(i)) for i in range(n)] + [(10_000 + i, text(i).replace(f"w{i}x119", "z").replace(f"w{i}x3 ", "y ")) for i in range(0, n, 50)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        signed = minhash.written(minhash._signed(docs, minhash.K, minhash.M, 2, "doc_id", "text"))
+        nodes = minhash._classes(signed)
+        texts = minhash.written(nodes.join(docs, F.col("mq_id") == F.col("doc_id")).select("node", F.col("text").alias("mq_text")))
+        pairs = minhash._close_pairs(texts.select("node", F.col("node").alias("root")), texts, 0.6, 2)
+        found[n] = pairs.count()
+        got = {r["doc_id"]: r["group_id"] for r in minhash.near_groups(docs).collect()}
+        assert all(got[i] == i % 10_000 for i in got)
+    assert found[300] == 6 and found[600] == 12
+
+
+def test_close_pairs_are_all_that_are_near(spark):
+    rng = np.random.default_rng(21)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for j in rng.integers(0, 60, rng.integers(0, 40)):
+            w[j] = f"v{rng.integers(0, 400)}"
+        texts.append(" ".join(w[: rng.integers(20, 61)]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, mq_text string")
+    for t in (0.5, 0.6, 0.8):
+        pairs = minhash._close_pairs(rows.select("node", F.col("node").alias("root")), rows, t, 2)
+        got = {(r["a"], r["b"]) for r in minhash._verified(pairs.select("a", "b"), rows, t, 2).collect()}
+        sets = [_sets(x) for x in texts]
+        assert got == {(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
+
+
 # ---- 7 ----
 
 
@@ -503,6 +687,123 @@ def test_lm_counts_against_a_plain_loop():
     assert {i: m.counts[0][i] for i in np.flatnonzero(m.counts[0])} == dict(want)
 
 
+def _plain_bits(texts, copied, block, warm=0):
+    """The whole model once more, decision by decision, with dictionaries keyed by the contexts themselves."""
+    data = b"".join(texts)
+    length, node, bit = lm._tree(np.bincount(np.frombuffer(data, np.uint8), minlength=256))
+    counts = [defaultdict(lambda: [0.0, 0.0]) for _ in range(lm._CONTEXTS)]
+    matched = [[1.0, 3.0] for _ in range(lm._LENGTHS)]
+    weight, square = defaultdict(lambda: None), defaultdict(lambda: 1e-3)
+    half = lm._BUCKETS / 2
+    refine = defaultdict(lambda: None)
+    def cell_of(n, c):
+        if refine[n, c] is None:
+            centre = 1 / (1 + np.exp(-(c - half + 0.5) / 2))
+            refine[n, c] = [4 * (1 - centre), 4 * centre]
+        return refine[n, c]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    place, source = lm.anchors(np.frombuffer(data, np.uint8), offsets)
+    from_ = dict(zip(place.tolist(), source.tolist()))
+    out = []
+    for d, t in enumerate(texts):
+        low, cost, begun, wrong = int(offsets[d]), 0.0, None, False
+        coded = []
+        for k in range(len(t)):
+            i = low + k
+            if i in from_:
+                begun, wrong = (i, from_[i]), False
+            guess = size = None
+            if begun and not wrong and begun[1] + i - begun[0] < len(data):
+                guess, size = data[begun[1] + i - begun[0]], lm.MATCH + i - begun[0]
+                wrong = guess != t[k]
+            if copied[d] and k >= lm.MATCH:
+                guess, size = t[k], k
+            word = k
+            while word > 0 and (t[word - 1] >= 128 or 97 <= (t[word - 1] | 32) <= 122):
+                word -= 1
+            contexts = [*(t[max(0, k - o) : k] for o in lm.ORDERS), t[word:k]]
+            coded.append((t[k], contexts, guess, size))
+        for a in range(0, len(coded), block):
+            learnt = []
+            for b, contexts, guess, size in coded[a : a + block]:
+                gate = 0 if guess is None else min(min(size // 8, lm._LENGTHS - 1) // 2 + 1, lm._GATES - 1)
+                for j in range(length[b]):
+                    n, y = node[b, j], bit[b, j]
+                    odds = {c: np.log((counts[c][x, n][1] + 0.15) / (counts[c][x, n][0] + 0.15)) for c, x in enumerate(contexts)}
+                    said = None
+                    if guess is not None and j < length[guess] and node[guess, j] == n:
+                        step = min(size // 8, lm._LENGTHS - 1)
+                        said = (step, bit[guess, j])
+                        odds[lm._CONTEXTS] = np.log((matched[step][1] + 0.3) / (matched[step][0] + 0.3)) * (2 * bit[guess, j] - 1)
+                    total = sum((weight[c, gate, n] if weight[c, gate, n] is not None else (0.4 if c < lm._CONTEXTS else 0.8)) * s for c, s in odds.items())
+                    total = max(-15, min(15, total))
+                    p = 1 / (1 + np.exp(-total))
+                    cell = int(max(0, min(lm._BUCKETS - 1, 2 * total + half)))
+                    zero, one = cell_of(n, cell)
+                    q = (one / (zero + one) + p) / 2
+                    cost -= np.log2(q if y else 1 - q)
+                    learnt.append((n, y, gate, odds, contexts, said, p, cell))
+            slope = defaultdict(float)
+            for n, y, gate, odds, contexts, said, p, cell in learnt:
+                for c, s in odds.items():
+                    slope[c, gate, n] += (y - p) * s
+                for c, x in enumerate(contexts):
+                    counts[c][x, n][y] += 1
+                if said:
+                    matched[said[0]][int(said[1] == y)] += 1
+                cell_of(n, cell)[y] += 1
+            for key, g in slope.items():
+                square[key] += g * g
+                before = weight[key] if weight[key] is not None else (0.4 if key[0] < lm._CONTEXTS else 0.8)
+                weight[key] = before + lm._RATE * g / np.sqrt(square[key])
+        out.append(cost)
+    return out
+
+
+def test_lm_bits_against_a_plain_loop():
+    texts = [prose(i, 90).encode() for i in range(5)]
+    texts += [texts[1][:200] + b" and then " + texts[3][50:], "été à ÇA".encode() * 9, texts[2], b"ab"]
+    copied = np.array([False] * 7 + [True, False])
+    # blocks as long as a document end where it ends in the plain loop, so each text is scored as a stretch of its own
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    match = (*lm.anchors(data, offsets), copied)
+    mixer = lm.Mixer(np.bincount(data, minlength=256))
+    got = [lm._learn(mixer, data, offsets, i, i + 1, 64, match)[0] for i in range(len(texts))]
+    want = _plain_bits(texts, copied, 64)
+    assert got == pytest.approx(want, rel=2e-3)
+    assert len(match[0]) and got[7] < 0.35 * got[2]
+
+
+def test_lm_matches_begin_where_the_bytes_are_the_same():
+    texts = [prose(i % 7, 120).encode()[: 50 + 90 * i] for i in range(12)] + [b"abcabc" * 40]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = b"".join(texts)
+    place, source = lm.anchors(np.frombuffer(data, np.uint8), offsets)
+    owner = np.searchsorted(offsets, [place, source], side="right")
+    assert len(place) > 50 and (owner[0][source > place] != owner[1][source > place]).all()
+    for i, j in zip(place, source):
+        assert data[i - lm.MATCH : i] == data[j - lm.MATCH : j] and i != j
+        earlier = [k for k in place if k < i and data[k - lm.MATCH : k] == data[i - lm.MATCH : i]]
+        assert source[place == i][0] >= max(earlier) if earlier else j > i or j not in place
+
+
+def test_lm_tells_texts_that_occur_twice_from_others(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = defaultdict(int)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for t in texts.values():
+        n[t] += 1
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm.lm_scores(docs).collect()}
+    once = sorted(got[i] for i, t in texts.items() if n[t] == 1)
+    again = [got[i] for i, t in texts.items() if n[t] > 1 and len(t) > 200]
+    assert len(again) > 20 and sum(x < once[len(once) // 10] for x in again) >= 0.95 * len(again)
+    same = defaultdict(set)
+    for i, t in texts.items():
+        same[t].add(got[i])
+    assert all(len(v) == 1 for v in same.values())
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r["doc_id"]: r["total_bits"] for r in lm.lm_scores(docs, stream_bytes=100_000).collect()}
@@ -517,13 +818,29 @@ def test_exact_against_texts_with_small_blocks(spark):
     base = ["", "a", "ab", "abab", "ab" * 7, "ab" * 8, "ab" * 8 + "c", "é" * 9, "x" * 64]
     rows = [(i, base[i % len(base)], "en", "s", 0) for i in range(60)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    for block in (1, 3, 4096):
+    for block in (3, 4096):
         got = {r["doc_id"]: (r["first_id"], r["n_copies"], r["is_duplicate"]) for r in exact.exact_groups(docs, block=block).collect()}
         assert got == {i: (i % 9, len(range(i % 9, 60, 9)), i >= 9) for i in range(60)}
     assert sorted(r["doc_id"] for r in exact.exact_dedup(docs).collect()) == list(range(9))
     assert exact.exact_dedup(docs.union(docs)).count() == 9
 
 
+def test_exact_compares_contents_where_hashes_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_hashes", lambda col: [F.octet_length(col).cast("bigint"), F.lit(0).cast("bigint")])
+    base = ["aa", "ab", "abab", "baba", "aabb", "ab" * 9, "ba" * 9, "ab" * 8 + "ba", ""]
+    docs = spark.createDataFrame([(i, base[i % 9], "en", "s", 0) for i in range(40)], SCHEMA)
+    for block in (2, 5):
+        got = {r["doc_id"]: (r["first_id"], r["n_copies"]) for r in exact.exact_groups(docs, block=block).collect()}
+        assert got == {i: (i % 9, len(range(i % 9, 40, 9))) for i in range(40)}
+
+
+def test_rows_many_times(spark, monkeypatch):
+    monkeypatch.setattr(exact, "_TIMES", 4)
+    rows = spark.createDataFrame([(1, 1), (2, 4), (3, 11)], "i int, n bigint")
+    got = sorted((r["i"], r["first"]) for r in exact.each_time(rows, "n", "first").collect())
+    assert got == sorted([(i, k == 0) for i, n in ((1, 1), (2, 4), (3, 11)) for k in range(n)])
+
+
 def test_exact_null_texts_and_ids(spark):
     docs = spark.createDataFrame([(1, None), (2, None), (None, "t"), (3, "t"), (None, "u"), (None, "u")], "doc_id int, text string")
     got = sorted(((r["doc_id"], r["first_id"], r["n_copies"], r["is_duplicate"]) for r in exact.exact_groups(docs).collect()), key=repr)
@@ -553,12 +870,47 @@ def test_shards_are_ordered_ranges_that_fit(spark):
     assert len(total) < 3 * sum(sizes) / target
 
 
-def test_shards_of_ties(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "z" * 500, "en", "a", 1)] * 40 + [(2, "", "en", "a", 1), (3, None, None, None, None)], SCHEMA)
-    got = shard.shard_ids(docs, target_bytes=1000)
-    assert got.where("doc_id = 1").select("shard").distinct().count() == 1 and got.count() == 42
-    shard.write_shards(docs, str(tmp_path / "out"), target_bytes=1000)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 42
+def test_shards_in_several_rounds_of_cuts(spark):
+    rows = [(i, "x" * (1 + i * 7 % 90), "en", f"s{i % 3}", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: (r["shard"], r["n_bytes"]) for r in shard.shard_ids(docs, target_bytes=700, fan=5).collect()}
+    total = defaultdict(int)
+    for s, n in got.values():
+        total[s] += n
+    order = sorted(rows, key=lambda r: (r[3], r[0]))
+    assert [got[r[0]][0] for r in order] == sorted(s for s, _ in got.values())
+    assert set(total) == set(range(len(total))) and max(total.values()) <= shard.SLACK * 700 and len(total) < 3 * sum(total.values()) / 700
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(1, "z" * 500, "en", "a", 1)] * 40 + [(1, "z" * 500, "en", "b", 1)] * 7 + [(2, "", "en", "a", 1), (3, None, None, None, None), (None, "q" * 300, "fr", None, 2), (None, "q" * 300, "fr", None, 2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ids = shard.shard_ids(docs, target_bytes=1000).collect()
+    assert len(ids) == len(rows)
+    filled = defaultdict(int)
+    for r in ids:
+        filled[r["shard"]] += r["n_bytes"]
+    assert max(filled.values()) <= 1500 and len(filled) > 15  # rows repeated are dealt out
+    clash = docs.withColumns({n: F.lit(n) for n in ("shard", "mq_id", "mq_tie", "mq_range", "mq_size")})
+    assert shard.write_shards(docs, str(tmp_path / "a"), target_bytes=1000) == "shard"
+    assert shard.write_shards(clash, str(tmp_path / "b"), target_bytes=1000) == "mq_shard"
+    for path, df in (("a", docs), ("b", clash)):
+        back = spark.read.parquet(str(tmp_path / path)).select(*df.columns)
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    shard.write_shards(docs.where("false"), str(tmp_path / "c"))
+
+
+def test_sharding_query_against_its_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_sharding"](spark, sf).collect()}
+    assert {i: r["n_bytes"] for i, r in got.items()} == {r["doc_id"]: len(r["text"].encode()) for r in docs}
+    small = {r["doc_id"]: r["shard"] for r in shard.sharded(spark.read.parquet(f"{sf}/documents.parquet"), f"{shared_folder(spark)}/few", target_bytes=20_000).collect()}
+    order = sorted((r["source"], r["doc_id"]) for r in docs)
+    assert [small[i] for _, i in order] == sorted(small.values()) and len(set(small.values())) > 10
+    size = defaultdict(int)
+    for i, k in small.items():
+        size[k] += got[i]["n_bytes"]
+    assert all(n <= 25_000 or sum(k == j for j in small.values()) == 1 for k, n in size.items())
 
 
 # ---- 10 ----
@@ -569,21 +921,19 @@ def test_cross_parse_against_plain_parse():
     texts = {"x": prose(1, 300).encode(), "y": "".join(rng.choice(list("abcé "), 900)).encode()}
     p = langid.CrossParser(texts)
     folded = {k: langid.fold(np.frombuffer(t, np.uint8)).tobytes() for k, t in texts.items()}
-    docs = [prose(2, 60).encode(), b"", "Ébc é aÀ!? 12".encode(), b"\xff\xfe zz", prose(3, 700).encode(), b"q"]
+    docs = [prose(2, 60).encode(), b"", "Ébc é aÀ!? 12".encode(), b"\xff\xfe zz", prose(3, 3000).encode(), b"q", texts["x"] * 6, texts["y"] * 4, b"z" * 5000]
     data = np.frombuffer(b"".join(docs), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     counts, _ = p.phrases(data, offsets)
     for i, d in enumerate(docs):
         f = langid.fold(data)[offsets[i] : offsets[i + 1]].tobytes()
         for j, k in enumerate(p.languages):
-            n = 0
-            for a in range(0, len(f), langid.SEGMENT):
-                seg, at = f[a : a + langid.SEGMENT], 0
-                while at < len(seg):
-                    m = 1
-                    while at + m < len(seg) and seg[at : at + m + 1] in folded[k]:
-                        m += 1
-                    at, n = at + m, n + 1
+            n = at = 0
+            while at < len(f):
+                m = 1
+                while at + m < len(f) and f[at : at + m + 1] in folded[k]:
+                    m += 1
+                at, n = at + m, n + 1
             assert counts[i, j] == n, (i, k)
 
 
@@ -600,6 +950,34 @@ def test_language_id_accuracy_and_rejections(spark, sf):
     assert langid.keep_identified(rows, fit).count() == 1
 
 
+def test_language_query_against_plain_parse(spark, sf):
+    """The query's own answer for some documents, from longest matches that are found by searching."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = langid.labelled_sample(docs)
+    assert all(0 < len(t) <= langid.SAMPLE_BYTES + langid.SAMPLE_DOCS for t in texts.values())
+    folded = {k: langid.fold(np.frombuffer(t, np.uint8)).tobytes() for k, t in texts.items()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_language_id"](spark, sf).collect()}
+    for r in sorted(docs.collect(), key=lambda r: len(r["text"]))[::25]:
+        f = langid.fold(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()
+        n = {}
+        for k in folded:
+            at = n[k] = 0
+            while at < len(f):
+                m = 1
+                while at + m < len(f) and f[at : at + m + 1] in folded[k]:
+                    m += 1
+                at, n[k] = at + m, n[k] + 1
+        best = min(sorted(n), key=n.get)
+        if got[r["doc_id"]]["identified"] is not None:
+            assert got[r["doc_id"]]["identified"] == best and got[r["doc_id"]]["bits"] == pytest.approx(n[best] * np.log2(len(f) + 1) / len(f))
+
+
+def test_sample_is_bounded_whatever_is_repeated(spark):
+    rows = [(None, prose(i, 20), "en") for i in range(300)] + [(7, "one and the same text", "fr")] * 200
+    texts = langid.labelled_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=8, sample_bytes=400)
+    assert set(texts) == {"en", "fr"} and len(texts["en"]) <= 408 and texts["fr"] == b"one and the same text"
+
+
 def test_rejection_does_not_depend_on_length():
     rng = np.random.default_rng(4)
     letters = np.array(list("etaoinshrdlcumwfgypbvkxjqz"))
