@@ -50,13 +50,64 @@ def _splitters(rows: DataFrame, keys: list[str], target: float, oversample: int,
 
 
 def _assign(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """Each range becomes its sub-ranges, in order, by four digits more. A row at a boundary goes above it."""
+    """Each range of cuts becomes its sub-ranges, in order, by four digits more. A row at a boundary goes above it."""
     names, key = rows.columns, _key(keys)
-    bundle = F.size(F.filter("mq_cuts", lambda b: b[0] <= key))
+    joined = rows.join(cuts, "mq_range", "left")
+    bundle = F.when(F.col("mq_cuts").isNull(), 0).otherwise(F.size(F.filter("mq_cuts", lambda b: b[0] <= key)))
+    joined = joined.withColumn("mq_bundle", bundle)
     inside = F.size(F.filter(F.get("mq_cuts", F.col("mq_bundle") - 1), lambda c: c <= key))
-    joined = rows.join(cuts, "mq_range", "left").withColumn("mq_bundle", F.coalesce(bundle, F.lit(0)))
     place = F.when(F.col("mq_bundle") > 0, (F.col("mq_bundle") - 1) * _WIDE + inside).otherwise(0)
-    return joined.withColumn("mq_range", F.concat("mq_range", F.lpad(place.cast("string"), 4, "0"))).select(*names)
+    digits = F.when(F.col("mq_over"), F.lpad(place.cast("string"), 4, "0")).otherwise("")
+    return joined.withColumn("mq_range", F.concat("mq_range", digits)).select(*names)
+
+
+def _keyed(docs: DataFrame, keys: tuple[str, ...], id_col: str, text_col: str, more: list[Column]) -> DataFrame:
+    """The columns of more with what decides a row's shard."""
+    cols = [F.col(k).alias(f"mq_k{i}") for i, k in enumerate(keys)]
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
+    rows = docs.select(*more, F.lit("").alias("mq_range"), *cols, F.xxhash64(id_col, text_col).alias("mq_tie"), size.alias("mq_size"))
+    return rows.withColumn("mq_row", F.monotonically_increasing_id())
+
+
+def _plan(rows: DataFrame, keys: list[str], target: int, oversample: int, slack: float, fan: int) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """(boundaries of each round, ranges whose rows are dealt out, (mq_range, shard)) for rows, a table with keys and sizes."""
+    levels, dealt, ranges, todo = [], [], [], rows
+    while True:
+        alike = F.when(F.col("mq_size") > 0, F.xxhash64(*keys, "mq_tie"))  # rows without bytes can't be cut from, nor need they
+        by = written(todo.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"), F.max("mq_size").alias("mq_most"), F.coalesce(F.min(alike) < F.max(alike), F.lit(False)).alias("mq_many")))
+        large = F.col("mq_total") > slack * target
+        # one text over and over: its rows are all alike, so any of them may go to any of its shards
+        parts = F.when(large & (F.col("mq_total") > F.col("mq_most")), F.ceil(F.col("mq_total") / target)).otherwise(1).cast("bigint")
+        done = by.where(~large | ~F.col("mq_many")).select("mq_range", parts.alias("mq_parts"))
+        ranges.append(done)
+        dealt.append(done.where("mq_parts > 1"))
+        over = by.where(large & F.col("mq_many")).select("mq_range", F.lit(True).alias("mq_over"))
+        if over.isEmpty():
+            break
+        rest = todo.join(over.select("mq_range"), "mq_range", "left_semi")
+        levels.append(written(over.join(_splitters(rest, keys, target, oversample, fan), "mq_range", "left")))
+        todo = written(_assign(rest, levels[-1], keys))
+        oversample *= 2
+    all_ranges, all_dealt = ranges[0], dealt[0]
+    for r, d in zip(ranges[1:], dealt[1:]):
+        all_ranges, all_dealt = all_ranges.unionByName(r), all_dealt.unionByName(d)
+    names = all_ranges.withColumn("mq_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mq_parts") - 1)))
+    names = names.select(F.when(F.col("mq_parts") > 1, F.concat("mq_range", _dealt_to("mq_i"))).otherwise(F.col("mq_range")).alias("mq_range"))
+    # only the ranges, one row each, are ranked in one task
+    return levels, written(all_dealt), written(names.select("mq_range", (F.row_number().over(Window.orderBy("mq_range")) - 1).alias("shard")))
+
+
+def _dealt_to(number: str) -> Column:
+    return F.lpad(F.col(number).cast("string"), 16, "0")
+
+
+def _routed(rows: DataFrame, levels: list[DataFrame], dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their last range. Boundaries are joined on ranges, by the plan that their size calls for."""
+    for cuts in levels:
+        rows = _assign(rows, cuts, keys)
+    names = rows.columns
+    rows = rows.join(dealt, "mq_range", "left").withColumn("mq_i", F.pmod("mq_row", "mq_parts"))
+    return rows.withColumn("mq_range", F.when(F.col("mq_parts").isNotNull(), F.concat("mq_range", _dealt_to("mq_i"))).otherwise(F.col("mq_range"))).select(*names)
 
 
 def shard_ids(docs: DataFrame, target_bytes: int = TARGET, oversample: int = OVERSAMPLE, slack: float = SLACK, keys: tuple[str, ...] = ("source", "doc_id"), id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
@@ -69,53 +120,25 @@ def shard_ids(docs: DataFrame, target_bytes: int = TARGET, oversample: int = OVE
     as they need, so only a single row above that size stays overfull. Nulls come first in a key; null and empty texts
     have no bytes. Other columns are not read. An empty table gives an empty result.
     """
-    return _placed(docs, target_bytes, oversample, slack, keys, id_col, text_col, fan).select(F.col("mq_id").alias(id_col), "shard", F.col("mq_size").alias("n_bytes"))
-
-
-def _placed(docs: DataFrame, target_bytes: int, oversample: int, slack: float, keys: tuple[str, ...], id_col: str, text_col: str, fan: int) -> DataFrame:
     cols = [f"mq_k{i}" for i in range(len(keys))]
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
-    rows = docs.select(F.lit("").alias("mq_range"), *[F.col(k).alias(c) for k, c in zip(keys, cols)], F.xxhash64(id_col, text_col).alias("mq_tie"), size.alias("mq_size"), F.col(id_col).alias("mq_id"))
-    todo, parts = written(rows.withColumn("mq_row", F.monotonically_increasing_id())), []
-    while True:
-        alike = F.when(F.col("mq_size") > 0, F.xxhash64(*cols, "mq_tie"))  # rows without bytes can't be cut from, nor need they
-        by = written(todo.groupBy("mq_range").agg(F.sum("mq_size").alias("mq_total"), F.max("mq_size").alias("mq_most"), F.coalesce(F.min(alike) < F.max(alike), F.lit(False)).alias("mq_many")))
-        large = by.where(F.col("mq_total") > slack * target_bytes)
-        over = large.where("mq_many").select("mq_range")
-        # one text over and over: its rows are all alike, so any of them may go to any of its shards
-        dealt = large.where("not mq_many and mq_total > mq_most").select("mq_range", F.ceil(F.col("mq_total") / target_bytes).cast("bigint").alias("mq_parts"))
-        done = todo.join(over, "mq_range", "left_anti").join(dealt, "mq_range", "left")
-        digits = F.lpad(F.pmod("mq_row", "mq_parts").cast("string"), 16, "0")
-        parts.append(done.withColumn("mq_range", F.when(F.col("mq_parts").isNotNull(), F.concat("mq_range", digits)).otherwise(F.col("mq_range"))).select(*todo.columns))
-        if over.isEmpty():
-            break
-        rest = todo.join(over, "mq_range", "left_semi")
-        todo = written(_assign(rest, written(_splitters(rest, cols, target_bytes, oversample, fan)), cols))
-        oversample *= 2
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = written(rows)
-    # only the ranges, one row each, are ranked in one task
-    ranked = rows.select("mq_range").distinct().select("mq_range", (F.row_number().over(Window.orderBy("mq_range")) - 1).alias("shard"))
-    return rows.join(written(ranked), "mq_range").select("mq_id", *cols, "mq_tie", "shard", "mq_size")
+    rows = written(_keyed(docs, keys, id_col, text_col, [F.col(id_col).alias("mq_id")]))
+    levels, dealt, ranked = _plan(rows, cols, target_bytes, oversample, slack, fan)
+    return _routed(rows, levels, dealt, cols).join(ranked, "mq_range").select(F.col("mq_id").alias(id_col), "shard", F.col("mq_size").alias("n_bytes"))
 
 
 def write_shards(docs: DataFrame, path: str, target_bytes: int = TARGET, oversample: int = OVERSAMPLE, slack: float = SLACK, keys: tuple[str, ...] = ("source", "doc_id"), id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> str:
     """Range-partition the records: docs as Parquet under path, one folder for each shard of shard_ids, all columns as
     they are, each row once. The name of the folders' column, which is given back, is shard, or mq_shard where docs
     has a column of that name. Rows repeated (same keys, id and text) that fill several shards are dealt out to these.
-    Nulls and empty texts are as in shard_ids; an empty table writes no shard."""
+    Nulls and empty texts are as in shard_ids; an empty table writes no shard. Texts travel once, to their shards."""
     cols, name = [f"mq_k{i}" for i in range(len(keys))], "mq_shard" if "shard" in docs.columns else "shard"
-    placed = _placed(docs, target_bytes, oversample, slack, keys, id_col, text_col, fan)
-    where = written(placed.groupBy(*cols, "mq_tie").agg(F.min("shard").alias("mq_first"), (F.max("shard") - F.min("shard") + 1).alias("mq_over")))
-    same = F.xxhash64(docs[id_col], docs[text_col]) == where["mq_tie"]
-    for k, c in zip(keys, cols):
-        same &= docs[k].eqNullSafe(where[c])
-    # texts travel once, to their shards
-    shard = where["mq_first"] + F.pmod(F.monotonically_increasing_id(), where["mq_over"])
-    out = docs.join(where, same).select(*[docs[f"`{c}`"] for c in docs.columns], shard.alias(name))
-    out.repartition(name).write.partitionBy(name).parquet(path)
+    sizes = written(_keyed(docs, keys, id_col, text_col, []))
+    levels, dealt, ranked = _plan(sizes, cols, target_bytes, oversample, slack, fan)
+    names = [f"mq_c{i}" for i in range(len(docs.columns))]
+    rows = _keyed(docs, keys, id_col, text_col, [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    routed = _routed(rows, levels, dealt, cols).repartition("mq_range").join(ranked, "mq_range")
+    out = routed.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)], F.col("shard").alias(name))
+    out.write.partitionBy(name).parquet(path)
     return name
 
 
