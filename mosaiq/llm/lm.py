@@ -77,31 +77,44 @@ def _mix32(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint32(16))
 
 
+def _powers(base: np.uint32, n: int) -> np.ndarray:
+    """The first n powers of base, modulo 2^32."""
+    out, k = np.ones(n, dtype=np.uint32), 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint32(pow(int(base), k, 1 << 32))
+        k *= 2
+    return out
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each predictor the hash (uint32) of its context at each byte; contexts don't reach into another document."""
     n = len(data)
     wide = data.astype(np.uint32)
-    at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+    wide += np.uint32(1)
+    start, sizes = offsets[:-1], np.diff(offsets)
     out = []
     with np.errstate(over="ignore"):
         h = np.zeros(n, dtype=np.uint32)
         for k in range(1, max(ORDERS) + 1):
             h *= _POWER
             if n > k:
-                h[k:] += np.where(at[k:] < k, np.uint32(0), wide[:-k] + np.uint32(1))
+                h[k:] += wide[:-k]
+                for j in range(k):  # the first k bytes of a document took one of a document before
+                    at = start[sizes > j] + j
+                    at = at[at >= k]
+                    h[at] -= wide[at - k]
             if k in ORDERS:
                 out.append(_mix32(h + np.uint32(k * 0x10000000)))
         letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)
-        stop = np.where(letter, 0, np.arange(1, n + 1))  # one past the last byte that is no letter
-        start = np.maximum(np.maximum.accumulate(np.concatenate([[0], stop[:-1]])), np.repeat(offsets[:-1], np.diff(offsets)))
-        power = np.full(n, _POWER, dtype=np.uint32)
-        inverse = np.full(n, _INVERSE, dtype=np.uint32)
-        if n:
-            power[0] = inverse[0] = 1
-        power, inverse = np.multiply.accumulate(power, dtype=np.uint32), np.multiply.accumulate(inverse, dtype=np.uint32)
+        begins = np.ones(n, dtype=bool)  # documents, and what follows a byte that is no letter
+        begins[1:] = ~letter[:-1]
+        begins[start[sizes > 0]] = True
+        first = np.flatnonzero(begins)
+        long = np.diff(first, append=n)
         sums = np.zeros(n + 1, dtype=np.uint32)
-        np.cumsum((wide + np.uint32(1)) * power, out=sums[1:])
-        word = (sums[np.arange(n)] - sums[start]) * inverse[start]
+        np.cumsum(wide * _powers(_POWER, n), dtype=np.uint32, out=sums[1:])
+        word = sums[:-1] - np.repeat(sums[first], long)
+        word *= np.repeat(_powers(_INVERSE, n)[first], long)
         out.append(_mix32(word * np.uint32(0x2C1B3C6D) + np.uint32(0x9E3779B9)))
     return out
 
@@ -114,6 +127,16 @@ def _stretches(offsets: np.ndarray, i: int, upto: int):
         i = j
 
 
+def _windows(these: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each size bytes that follow each other: a polynomial, made of those of half the size."""
+    if size == 1:
+        return these.astype(np.uint64)
+    half = size // 2
+    h = _windows(these, half)
+    h = h[:-half] * np.uint64(pow(0x9E3779B97F4A7C15, half, 1 << 64)) + h[half:]
+    return h[:-1] * np.uint64(0x9E3779B97F4A7C15) + these[size - 1 :] if size % 2 else h
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, source): places at which a match begins, and where in the stream the same MATCH bytes end otherwise: the
     last time before, or, if there is none, the first time in a later document."""
@@ -123,15 +146,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if len(these) <= MATCH:
             continue
         with np.errstate(over="ignore"):
-            h = np.zeros(len(these) - MATCH, dtype=np.uint64)  # of the MATCH bytes before each place
-            for k in range(MATCH):
-                h *= np.uint64(0x9E3779B97F4A7C15)
-                h += these[k : k + len(h)]
+            h = _windows(these[:-1], MATCH)  # of the MATCH bytes before each place
             h ^= h >> np.uint64(32)
             h *= np.uint64(0xD6E8FEB86659FD93)
         picked = np.flatnonzero((h >> np.uint64(64 - _SAMPLED)) == 0)
         place = picked + low + MATCH
-        inside = place - offsets[np.searchsorted(offsets, place, side="right") - 1] >= MATCH
+        inside = place - np.repeat(offsets[i:j], np.diff(np.searchsorted(place, offsets[i : j + 1]))) >= MATCH
         places.append(place[inside])
         hashes.append(h[picked[inside]])
     if not places:
@@ -139,7 +159,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     place, h = np.concatenate(places), np.concatenate(hashes)
     order = np.argsort(h, kind="stable")
     h, at = h[order], place[order]
-    document = np.searchsorted(offsets, at, side="right")
+    document = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(place, offsets)))[order]
     same = h[1:] == h[:-1]
     source = np.full(len(at), -1, dtype=np.int64)
     source[1:][same] = at[:-1][same]
@@ -155,6 +175,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place[some], back[some]
 
 
+def _line(size: int) -> np.ndarray:
+    """Zeros (float32) that begin where a cache line does."""
+    room = np.zeros(size + 16, dtype=np.float32)
+    skip = -room.ctypes.data % 64 // 4
+    return room[skip : skip + size]
+
+
 class Mixer:
     def __init__(self, frequency: np.ndarray, bits: int = TABLE_BITS):
         self.length, node, bit = _tree(frequency)
@@ -162,29 +189,33 @@ class Mixer:
         self.node, self.bit = node.ravel(), bit.ravel()
         self.mask = np.uint32((1 << bits) - 1)
         nodes = self.nodes = int(node.max()) + 1
-        self.counts = [np.zeros(2 << bits, dtype=np.float32) for _ in range(_CONTEXTS)]
+        self.counts = [_line(2 << bits) for _ in range(_CONTEXTS)]
         self.both = [c.view(np.complex64) for c in self.counts]  # a slot's two counts as one number
         self.matched = np.tile(np.array([1.0, 3.0]), (_LENGTHS, 1))  # misses and hits by the match's length
         self.weights = [np.full(nodes * _GATES, 0.4 if c < _CONTEXTS else 0.8, dtype=np.float32) for c in range(_CONTEXTS + 1)]
         self.squares = [np.full(nodes * _GATES, 1e-3) for _ in range(_CONTEXTS + 1)]
         centre = 1 / (1 + np.exp(-(np.arange(_BUCKETS) - _BUCKETS / 2 + 0.5) / 2))
         self.refine = np.stack([np.tile(4 * (1 - centre), nodes), np.tile(4 * centre, nodes)])
-        self.refined = self.refine[1] / self.refine.sum(axis=0)
+        self.refined = (self.refine[1] / self.refine.sum(axis=0)).astype(np.float32)
         self.spread = _mix32(np.arange(1, nodes + 1, dtype=np.uint32))
-        # node, bit and spread of each step of each byte in one number, so that one look-up gives all three
-        self.packed = self.node.astype(np.uint64) | self.bit.astype(np.uint64) << np.uint64(16) | self.spread[self.node].astype(np.uint64) << np.uint64(32)
+        # what the hash's slot is changed by at each step of each byte, for the count of its bit
+        self.code = (self.spread & self.mask).astype(np.int64)[self.node] << 1 | self.bit
+        self.order = np.arange(1 << 16)
 
     def block(self, data: np.ndarray, hashes: list[np.ndarray], guess: np.ndarray | None = None, size: np.ndarray | None = None, learn: bool = True) -> np.ndarray:
         """Bits that each byte of the block costs; then the block is learnt. guess: the byte that a match expects, -1
         for none; size: the match's length."""
         length = self.length.take(data)
         ends = np.cumsum(length)
-        path = np.repeat(data * np.int64(self.steps) - (ends - length), length)
-        path += np.arange(ends[-1])
-        packed = self.packed.take(path, mode="clip")
-        spread = packed.view(np.uint32)[1::2]
-        node = (packed & np.uint64(0xFFFF)).view(np.int64)
-        bit = ((packed >> np.uint64(16)) & np.uint64(1)).view(np.int64)
+        n = int(ends[-1])
+        if n > len(self.order):
+            self.order = np.arange(2 * n)
+        owner = np.repeat(self.order[: len(data)], length)  # the byte of each decision
+        path = (data * np.int64(self.steps) - (ends - length)).take(owner, mode="clip")
+        path += self.order[:n]
+        node = self.node.take(path, mode="clip")
+        code = self.code.take(path, mode="clip")
+        bit = code & 1
         target = bit.astype(np.float32)
         gated = node
         says = None
@@ -192,29 +223,32 @@ class Mixer:
             step = np.minimum(size[have].astype(np.int64) // 8, _LENGTHS - 1)
             gate = np.zeros(len(data), dtype=np.int64)
             gate[have] = np.minimum(step // 2 + 1, _GATES - 1) * self.nodes
-            gated = node + np.repeat(gate, length)
+            gated = gate.take(owner, mode="clip")
+            gated += node
             # the guess speaks at the nodes that its own path has as well
             long = length[have]
             upto = np.cumsum(long)
-            there = np.repeat(ends[have] - upto, long) + np.arange(upto[-1])
+            there = np.repeat(ends[have] - upto, long) + self.order[: upto[-1]]
             own = path.take(there) + np.repeat((guess[have].astype(np.int64) - data[have]) * self.steps, long)
             on = self.node.take(own, mode="clip") == node.take(there)
             says, expected, kind = there[on], self.bit.take(own[on], mode="clip"), np.repeat(step, long)[on]
             strength = np.log((self.matched[:, 1] + 0.3) / (self.matched[:, 0] + 0.3)).astype(np.float32)
             voice = strength.take(kind) * (2 * expected - 1).astype(np.float32)
-        total = np.zeros(len(node), dtype=np.float32)
-        slots, odds = [], []
+        total = np.zeros(n, dtype=np.float32)
+        odds = []
         for c in range(_CONTEXTS):
-            slot = np.repeat(hashes[c], length)
-            slot ^= spread
-            slot &= self.mask
-            slot = slot.astype(np.int64)
-            pair = self.both[c].take(slot, mode="clip")
-            s = pair.imag + np.float32(0.15)
-            s /= pair.real + np.float32(0.15)
+            slot = ((hashes[c] & self.mask).astype(np.int64) << 1).take(owner, mode="clip")
+            slot ^= code
+            pair = self.both[c].take(slot >> 1, mode="clip")
+            if learn:  # the counts are copied, so that their places can be used while they are at hand
+                np.add.at(self.counts[c], slot, np.float32(1))
+            pair = pair.view(np.float32)
+            pair += np.float32(0.15)
+            s = pair[1::2] / pair[::2]
             np.log(s, out=s)
-            total += self.weights[c].take(gated, mode="clip") * s
-            slots.append(slot)
+            weighed = self.weights[c].take(gated, mode="clip")
+            weighed *= s
+            total += weighed
             odds.append(s)
         if says is not None:
             total[says] += self.weights[_CONTEXTS].take(gated[says]) * voice
@@ -222,23 +256,21 @@ class Mixer:
         p = np.exp(-total)
         p += 1
         np.reciprocal(p, out=p)
-        cell = total * np.float32(2)
-        cell += np.float32(_BUCKETS / 2)
-        np.clip(cell, 0, _BUCKETS - 1, out=cell)
-        cell = cell.astype(np.int64)
+        total *= np.float32(2)
+        total += np.float32(_BUCKETS / 2)
+        np.clip(total, 0, _BUCKETS - 1, out=total)
+        cell = total.astype(np.int64)
         cell += node * _BUCKETS
-        chance = self.refined.take(cell, mode="clip").astype(np.float32)
+        chance = self.refined.take(cell, mode="clip")
         chance += p
         chance *= np.float32(0.5)
+        error = target - p
         chance -= 1 - target
         np.abs(chance, out=chance)  # what the decision that came was given
-        cost = np.add.reduceat(np.log(chance), ends - length)
+        np.log(chance, out=chance)
+        cost = np.bincount(owner, weights=chance, minlength=len(data))
         if learn:
-            error = target - p
             for c in range(_CONTEXTS):
-                slots[c] <<= 1
-                slots[c] += bit
-                np.add.at(self.counts[c], slots[c], np.float32(1))
                 self._weigh(c, gated, error * odds[c])
             if says is not None:
                 self._weigh(_CONTEXTS, gated[says], error[says] * voice)
@@ -246,8 +278,8 @@ class Mixer:
                 self.matched += np.bincount(2 * kind + hit, minlength=2 * _LENGTHS).reshape(-1, 2)
             cell += bit * (self.nodes * _BUCKETS)
             self.refine += np.bincount(cell, minlength=2 * self.nodes * _BUCKETS).reshape(2, -1)
-            self.refined = self.refine[1] / self.refine.sum(axis=0)
-        return cost.astype(np.float64) * (-1 / np.log(2))
+            self.refined = (self.refine[1] / self.refine.sum(axis=0)).astype(np.float32)
+        return cost * (-1 / np.log(2))
 
     def _weigh(self, c: int, gated: np.ndarray, slope: np.ndarray) -> None:
         gradient = np.bincount(gated, weights=slope, minlength=self.nodes * _GATES)
@@ -255,36 +287,36 @@ class Mixer:
         self.weights[c] += (_RATE * gradient / np.sqrt(self.squares[c])).astype(np.float32)
 
 
+def _runs(begin: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin + 0, 1, .. below long; 0, 1, .. below long) of all runs, one after the other."""
+    since = np.arange(int(long.sum()))
+    since -= np.repeat(np.cumsum(long) - long, long)
+    return np.repeat(begin, long) + since, since
+
+
 def guesses(data: np.ndarray, offsets: np.ndarray, low: int, high: int, place: np.ndarray, source: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(guess, size) for data[low:high], whole documents. A match goes on until it is wrong for once, or the document
     ends. In the documents of own, which have copies, the copy is the match, from the byte after the first MATCH on."""
-    n = high - low
+    guess = np.full(high - low, -1, dtype=np.int16)
+    size = np.zeros(high - low, dtype=np.int32)
     i, j = np.searchsorted(place, [low, high])
-    began = np.full(n, -1, dtype=np.int64)
-    began[place[i:j] - low] = np.arange(i, j)
-    began = np.maximum.accumulate(began) if n else began
+    begin, there = place[i:j], source[i:j]
+    # up to the next match, the end of the document or that of the stream
+    upto = np.minimum(np.append(begin[1:], high), offsets[np.searchsorted(offsets, begin, side="right")])
+    long = np.minimum(upto - begin, len(data) - there)
+    where, since = _runs(there, long)
+    at = where + np.repeat(begin - there, long)
+    expected = data.take(where, mode="clip")
+    wrong = np.append(np.flatnonzero(expected != data.take(at, mode="clip")), len(at))
+    first = np.cumsum(long) - long
+    sound = np.flatnonzero(since <= np.repeat(wrong[np.searchsorted(wrong, first)] - first, long))
+    at = at[sound] - low
+    guess[at], size[at] = expected[sound], MATCH + since[sound]
     d, e = np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high, side="left")
-    sizes = np.diff(offsets[d : e + 1])
-    start = np.repeat(offsets[d:e], sizes)
-    live = np.flatnonzero(began >= 0)
-    live = live[place[began[live]] >= start[live]]
-    since = live + low - place[began[live]]
-    where = source[began[live]] + since
-    good = where < len(data)
-    live, since, where = live[good], since[good], where[good]
-    guess = np.full(n, -1, dtype=np.int16)
-    size = np.zeros(n, dtype=np.int32)
-    wrong = np.full(n + 1, -1, dtype=np.int64)
-    bad = live[data[where] != data[live + low]]
-    wrong[bad + 1] = bad
-    wrong = np.maximum.accumulate(wrong)  # the last wrong place before each
-    sound = wrong[live] < live - since
-    live = live[sound]
-    guess[live], size[live] = data[where[sound]], MATCH + since[sound]
-    if own.any():
-        at = np.arange(low, high) - start
-        copied = np.flatnonzero(np.repeat(own[d:e], sizes) & (at >= MATCH))
-        guess[copied], size[copied] = data[copied + low], at[copied]
+    copied = np.flatnonzero(own[d:e] & (np.diff(offsets[d : e + 1]) > MATCH)) + d
+    if len(copied):
+        at, since = _runs(offsets[copied] + MATCH, offsets[copied + 1] - offsets[copied] - MATCH)
+        guess[at - low], size[at - low] = data[at], MATCH + since
     return guess, size
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -788,6 +789,78 @@ def test_lm_matches_begin_where_the_bytes_are_the_same():
         assert source[place == i][0] >= max(earlier) if earlier else j > i or j not in place
 
 
+def test_lm_guesses_and_contexts_of_odd_documents_against_a_plain_loop():
+    random = np.random.default_rng(5)
+    words = [prose(i, 3).encode() for i in range(4)]
+    texts = [b"".join(words[k] + b" " * int(random.integers(2)) for k in random.integers(0, 4, random.integers(0, 12))) for _ in range(40)]
+    texts = [b"", b"a", b"", b"\xff\x00b", b"ab c", *texts, b"", b"xy", b""]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    names: list[dict] = [{}, {}, {}]
+    hashes = lm.contexts(data, offsets)
+    for d, t in enumerate(texts):
+        for k in range(len(t)):
+            word = k
+            while word > 0 and (t[word - 1] >= 128 or 97 <= (t[word - 1] | 32) <= 122):
+                word -= 1
+            for c, x in enumerate((t[max(0, k - 2) : k], t[max(0, k - 4) : k], t[word:k])):
+                assert names[c].setdefault(x, hashes[c][offsets[d] + k]) == hashes[c][offsets[d] + k]
+    assert all(len(set(x.values())) == len(x) > 20 for x in names)
+    own = random.random(len(texts)) < 0.2
+    place, source = lm.anchors(data, offsets)
+    from_ = dict(zip(place.tolist(), source.tolist()))
+    want = np.repeat([[-1], [0]], len(data), axis=1)
+    for d in range(len(texts)):
+        begun = None
+        for i in range(offsets[d], offsets[d + 1]):
+            begun = (i, from_[i]) if i in from_ else begun
+            if begun and (j := begun[1] + i - begun[0]) < len(data):
+                want[:, i] = data[j], lm.MATCH + i - begun[0]
+                begun = begun if data[j] == data[i] else None
+            if own[d] and i - offsets[d] >= lm.MATCH:
+                want[:, i] = data[i], i - offsets[d]
+    for a, b in ((0, len(texts)), (0, 20), (20, len(texts)), (2, 3)):
+        low, high = int(offsets[a]), int(offsets[b])
+        guess, size = lm.guesses(data, offsets, low, high, place, source, own)
+        assert guess.tolist() == want[0, low:high].tolist() and size.tolist() == want[1, low:high].tolist()
+    assert (want[0] >= 0).mean() > 0.2
+
+
+def test_lm_cpu_time_against_the_bare_model():
+    """CPU time of the scoring by that of its arithmetic alone, with decisions drawn at random: no text is read, no match followed."""
+    texts = [prose(i, 500).encode() for i in range(250)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    length = lm._tree(np.bincount(data, minlength=256))[0].take(data)
+    random, mask = np.random.default_rng(0), (1 << lm.TABLE_BITS) - 1
+    blocks = [int(length[a : a + lm.BLOCK].sum()) for a in range(0, len(data), lm.BLOCK)]
+    most = max(blocks)
+    slots, gated, owner = random.integers(0, mask, (lm._CONTEXTS, most)), random.integers(0, 500, most), np.arange(most) // 4
+    weights = random.random(1000, dtype=np.float32)
+
+    def bare():
+        tables = [np.zeros(2 << lm.TABLE_BITS, dtype=np.float32) for _ in range(lm._CONTEXTS)]
+        for k, n in enumerate(blocks):
+            total, odds, at = np.zeros(n, dtype=np.float32), [], gated[:n]
+            for c in range(lm._CONTEXTS):
+                slot = (slots[c, :n] + 7919 * k) & mask
+                pair = tables[c].view(np.complex64).take(slot, mode="clip")
+                odds.append(np.log((pair.imag + np.float32(0.15)) / (pair.real + np.float32(0.15))))
+                total += weights.take(at, mode="clip") * odds[c]
+                np.add.at(tables[c], 2 * slot, np.float32(1))
+            chance = 1 / (1 + np.exp(-total))
+            np.bincount(owner[:n], weights=np.log(chance))
+            for c in range(lm._CONTEXTS):
+                np.bincount(at, weights=chance * odds[c])
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    ratios = sorted(seconds(lambda: lm.score(texts, warm=0)) / seconds(bare) for _ in range(9))
+    assert ratios[4] < 1.15, ratios  # 1.0 as a rule; 1.3 and more as long as hashes, masks and counts had passes of their own
+
+
 def test_lm_tells_texts_that_occur_twice_from_others(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     n = defaultdict(int)
