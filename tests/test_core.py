@@ -1,8 +1,11 @@
 """Parts of the engine beside the catalog: spellings, ids, retries, stores that break off, caches, resuming, entry."""
 
+import json
+import os
 import random
 import struct
 import sys
+import uuid
 from types import SimpleNamespace
 
 import pytest
@@ -237,3 +240,84 @@ def test_entry_keeps_its_queries_when_a_library_of_the_others_is_missing(monkeyp
     monkeypatch.setitem(sys.modules, "ahocorasick", None)
     known = __spark_entry__.queries()
     assert len(known) > 80 and not any(n.startswith("op") or n == "pipeline" for n in known) and set(__spark_entry__.oracle_sql()) <= set(known)
+
+
+class Provider:
+    """A provider of batches in plain files that refuses some uploads."""
+
+    def __init__(self, folder, refused=()):
+        self.folder, self.refused, self.files = folder, refused, {}
+
+    def upload(self, path):
+        if len(self.files) in self.refused:
+            raise RuntimeError("refused")
+        self.files[f"f{len(self.files):03d}"] = path
+        return f"f{len(self.files) - 1:03d}"
+
+    def create(self, file_id, window):
+        return {"id": f"b-{file_id}", "status": "in_progress"}
+
+    def retrieve(self, batch_id):
+        return {"id": batch_id, "status": "completed", "output_file_id": batch_id.removeprefix("b-")}
+
+    def download(self, file_id, to):
+        os.makedirs(self.folder, exist_ok=True)
+        with open(f"{self.folder}/{file_id} 1.jsonl", "w") as f:
+            for line in open(self.files[file_id].removeprefix("file:")):
+                f.write(json.dumps({"custom_id": json.loads(line)["custom_id"], "response": {"status_code": 200, "body": {"data": [{"embedding": self.vector(file_id), "index": 0}]}}}) + "\n")
+        return f"{self.folder}/{file_id} 1.jsonl"
+
+    def vector(self, file_id):
+        return [1.0, 2.0]
+
+
+def prepared(spark, root, client, rows=60):
+    first = batch.BatchManager(spark, batch.BatchState(root, "openai/e", max_lines=2), store.ChunkStore(spark, f"{root}/store"), client)
+    assert first.prepare(chunks(spark, range(rows)).withColumn("document_id", F.lpad(F.substring("chunk_id", 2, 9), 3, "0")), ["document_id", "chunk_index"]) == rows
+    return first
+
+
+def jobs_of(spark, work):
+    """What work() gives, and the number of Spark jobs that it ran."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_batches_take_no_more_jobs_than_few(spark, tmp_path):
+    jobs = []
+    for n, rows in enumerate((6, 60)):
+        manager = prepared(spark, str(tmp_path / f"r{n}"), Provider(str(tmp_path / f"out{n}")), rows)
+        made, a = jobs_of(spark, manager.submit)
+        got, b = jobs_of(spark, manager.poll)
+        jobs.append(a + b)
+        assert len(made) == len(got) == rows // 2 and {(r.records_added, r.records_skipped) for r in got} == {(2, 0)}
+        assert manager.store.count() == rows and manager.events().count() == 3 * len(made) and manager.submit() == []
+        assert manager.events().select("seq").distinct().count() == 3 * len(made)
+    assert jobs[1] < 2 * jobs[0]
+
+
+def test_batches_before_one_that_breaks_off_are_kept(spark, tmp_path):
+    client = Provider(str(tmp_path / "out"), refused=(3,))
+    manager = prepared(spark, str(tmp_path / "r"), client, 8)
+    with pytest.raises(RuntimeError):
+        manager.submit()
+    client.refused = ()
+    assert manager.events().count() == 3 and len(manager.submit()) == 1
+    client.vector = lambda file_id: [1.0, 2.0] if file_id < "f002" else [float("nan"), 1.0]
+    with pytest.raises(Exception):
+        manager.poll()
+    assert manager.store.count() == 4 and manager.events().where("ingested_at is not null").count() == 2
+    client.vector = lambda file_id: [1.0, 2.0]
+    assert [r.batch_id for r in manager.poll()] == ["b-f002", "b-f003"] and manager.store.count() == 8
+
+
+def test_a_cap_of_bytes_that_no_file_can_reach_gives_the_same_files(spark):
+    rows = spark.range(100).select(F.col("id").alias("k"), F.lit(10).alias("b"))
+    want = batch.assign_files(rows, ["k"], 7, 69, "b").collect()  # one byte short: the fold, with files closed by lines or bytes
+    assert max(r["file_no"] for r in want) == 16
+    got = batch.assign_files(rows, ["k"], 7, 70, "b")
+    assert sorted((r["k"], r["file_no"]) for r in got.collect()) == [(i, i // 7) for i in range(100)]
