@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from mosaiq import config, session
 from mosaiq.engine import Engine
-from mosaiq.functions import filters
+from mosaiq.functions import filters, vectors
 from mosaiq.functions import text as X
 from mosaiq.operators import batch, cells, checkpoint, compare, export, models, retrieval, store
 from mosaiq.sources import files
@@ -321,3 +321,17 @@ def test_a_cap_of_bytes_that_no_file_can_reach_gives_the_same_files(spark):
     assert max(r["file_no"] for r in want) == 16
     got = batch.assign_files(rows, ["k"], 7, 70, "b")
     assert sorted((r["k"], r["file_no"]) for r in got.collect()) == [(i, i // 7) for i in range(100)]
+
+
+def test_numbers_that_round_to_zero_keep_their_sign(spark):
+    values = [-4e-6, 4e-6, -0.0, 0.0, -6e-6, 0.123456, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(vectors.rounded(F.col("v"), 5)).collect()]
+    assert list(map(repr, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-1e-05", "0.12346", "nan", "None"]
+
+
+def test_index_join_bit_for_bit(spark, tmp_path):
+    from mosaiq.plans import catalog
+
+    spark.createDataFrame([(1, "t", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [-1e-6, 1e-6, 0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert repr(catalog.QUERIES["index_join"](spark, str(tmp_path)).first()["vector"]) == "[-0.0, 0.0, 0.5]"
