@@ -335,3 +335,47 @@ def test_index_join_bit_for_bit(spark, tmp_path):
     spark.createDataFrame([(1, "t", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, [-1e-6, 1e-6, 0.5])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert repr(catalog.QUERIES["index_join"](spark, str(tmp_path)).first()["vector"]) == "[-0.0, 0.0, 0.5]"
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_csv_files_are_split_where_rows_have_line_breaks(spark, tmp_path, monkeypatch, end):
+    rng = random.Random(5)
+    quoted = lambda s: '"' + s.replace('"', '""') + '"'
+    texts = ["".join(rng.choices(['"', ",", "\n", "\r\n", "\r", "é", "word ", "a", "\n\n", '""\n'], k=rng.choice([1, 5, 40, 300]))) for _ in range(400)]
+    texts += ["\n" * 9000, '"\n' * 4000, "", "x\n" * 6000]
+    rng.shuffle(texts)
+    (tmp_path / "in").mkdir()
+    for name, part in (("a", texts[:150]), ("b", texts[150:])):
+        lines = ["n,body,w"] + [f"{i},{quoted(t)},{rng.choice(['plain', '', quoted('q')])}" for i, t in enumerate(part)]
+        for at in sorted(rng.sample(range(1, len(lines)), 20), reverse=True):
+            lines.insert(at, "")
+        (tmp_path / "in" / f"{name}.csv").write_bytes(end.join(lines).encode())
+    schema = "n int, body string, w string"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        for path in (tmp_path / "in" / "a.csv", tmp_path / "in"):
+            got = files.read_csv(spark, str(path), "body", ["n", "w"], schema=schema)
+            assert "MapInArrow" in got._jdf.queryExecution().toString()
+            split = sorted(map(tuple, got.collect()))
+            with monkeypatch.context() as m:
+                m.setattr(files, "_split_csv", lambda *_: None)
+                assert split == sorted(map(tuple, files.read_csv(spark, str(path), "body", ["n", "w"], schema=schema).collect())) and len(split) > 100
+        (tmp_path / "odd.csv").write_text("n,body,w\n" + "1,it is 6\" long,x\n2,plain,y\n" * 900)  # quotes that counting can't read
+        assert files._split_csv(spark, str(tmp_path / "odd.csv"), schema) is None
+        assert files.read_csv(spark, str(tmp_path / "odd.csv"), "body", schema=schema).count() == 1800
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_csv_of_the_catalog_is_written_and_read_by_many_tasks(spark, sf, tmp_path):
+    from mosaiq.plans import catalog
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        path = catalog._csv(spark, sf, True)
+        docs = files.read_csv(spark, path, "text", schema="doc_id bigint, text string, lang string, source string, n_chars bigint")
+        assert docs.rdd.getNumPartitions() > 1 and docs.count() == spark.read.parquet(f"{sf}/documents.parquet").where("trim(text) <> ''").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
