@@ -242,6 +242,9 @@ def read_text_folder(spark: SparkSession, path: str, auto_generate_ids: bool = T
     if not exists(spark, path) or not is_folder(spark, path):
         raise NotADirectoryError(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", False).load(path)
+    # small files are planned as if each had 4 MB, which makes tasks of a few: as many as their bytes and the cores need are enough
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >> 26))
+    files = files.coalesce(tasks)
     name = F.element_at(F.split("path", "/"), -1)
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
     ident = F.regexp_replace(name, r"\.txt$", "") if auto_generate_ids else F.expr("uuid()")

@@ -379,3 +379,19 @@ def test_a_csv_of_the_catalog_is_written_and_read_by_many_tasks(spark, sf, tmp_p
         assert docs.rdd.getNumPartitions() > 1 and docs.count() == spark.read.parquet(f"{sf}/documents.parquet").where("trim(text) <> ''").count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_small_text_files_are_few_tasks_and_are_not_written_by_the_driver(spark, sf, tmp_path, monkeypatch):
+    from mosaiq.plans import catalog
+
+    for i in range(1000):
+        (tmp_path / f"d{i}.txt").write_text(f" text {i}\n")
+    docs = files.read_text_folder(spark, str(tmp_path), ordered=False)
+    assert docs.count() == 1000 and docs.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'de'")
+
+    def refuse(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(type(table), "toLocalIterator", refuse)
+    assert catalog.QUERIES["scan_text_folder"](spark, sf).count() == table.where("trim(text) <> ''").count()
