@@ -395,3 +395,17 @@ def test_many_small_text_files_are_few_tasks_and_are_not_written_by_the_driver(s
 
     monkeypatch.setattr(type(table), "toLocalIterator", refuse)
     assert catalog.QUERIES["scan_text_folder"](spark, sf).count() == table.where("trim(text) <> ''").count()
+
+
+def test_a_stream_of_a_large_table_has_more_files_but_no_more_batches(spark, sf):
+    from mosaiq.plans import catalog
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        rows = catalog.QUERIES["stream_index"](spark, sf)
+        folder = rows.inputFiles()[0].split("/store/")[0].removeprefix("file://")
+        assert len([f for f in os.listdir(f"{folder}/in") if f.endswith(".parquet")]) > 6 and len(os.listdir(f"{folder}/checkpoint0/commits")) == 4  # two and their checksums
+        assert rows.count() == rows.select("chunk_id").distinct().count() == catalog._c(spark, sf).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
