@@ -5,6 +5,7 @@ import os
 import random
 import struct
 import sys
+import time
 import uuid
 from types import SimpleNamespace
 
@@ -409,3 +410,19 @@ def test_a_stream_of_a_large_table_has_more_files_but_no_more_batches(spark, sf)
         assert rows.count() == rows.select("chunk_id").distinct().count() == catalog._c(spark, sf).count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ascii_json_is_what_python_writes_and_costs_little_where_few_characters_need_it(spark):
+    rng = random.Random(8)
+    texts = ["", "plain", "é", "a\u00e9\u20ac\U0001f600z", "\x7f\x80\u2028", "\ud7ff\ue000\uffff\U0010ffff"] + ["".join(rng.choices("ab \"\\{\n" + "éß€漢\U0001f600\u0080", k=rng.randrange(60))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", batch.ascii_json(F.col("t")).alias("a")).collect()
+    assert all(r["a"].isascii() and r["a"] == "".join(c if c < "\x80" else json.dumps(c)[1:-1] for c in r["t"]) for r in got)
+    long = spark.range(3000, numPartitions=1).select(F.concat(F.lit("word " * 1000), F.when(F.col("id") >= 0, "é"), F.col("id").cast("string")).alias("t"))
+
+    def took(df):
+        began = time.monotonic()
+        df.write.format("noop").mode("overwrite").save()
+        return time.monotonic() - began
+
+    took(long.limit(10).select(batch.ascii_json(F.col("t"))))
+    assert took(long.select(batch.ascii_json(F.col("t")))) < 10 * took(long.select(F.sha2("t", 256))) + 0.5
