@@ -426,3 +426,25 @@ def test_ascii_json_is_what_python_writes_and_costs_little_where_few_characters_
 
     took(long.limit(10).select(batch.ascii_json(F.col("t"))))
     assert took(long.select(batch.ascii_json(F.col("t")))) < 10 * took(long.select(F.sha2("t", 256))) + 0.5
+
+
+def test_places_of_pieces(spark):
+    from mosaiq.operators import chunking
+
+    def of(text, fn, overlap=0):
+        rows = chunking.custom_chunks(spark.createDataFrame([("d", text)], "document_id string, text string"), fn, overlap, python=False).orderBy("chunk_index").collect()
+        return [(r["text"], r["start_char"], r["end_char"]) for r in rows]
+
+    lines = lambda c: F.split(c, "\n")
+    assert of("ab\n\né\U0001f600d\nab", lines) == [("ab", 0, 2), ("", 2, 2), ("é\U0001f600d", 4, 7), ("ab", 8, 10)]  # an empty piece is where the last one ended
+    assert of("ab\nab", lines, 100) == [("ab", 0, 2), ("ab", 0, 2)]
+    assert of("ab\ncd", lambda c: F.split(F.upper(c), "\n")) == [("AB", 0, 2), ("CD", 2, 4)]  # not found: the origin
+    assert of(None, lines) == [] and of("", lines) == [("", 0, 0)]
+
+
+def test_places_that_nobody_asks_for_are_not_looked_for(spark, sf):
+    from mosaiq.plans import catalog
+
+    plan = lambda name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "origins" not in plan("chunk_sentences") and "aggregate(" not in plan("chunk_sentences")
+    assert "origins" in plan("chunk_origin") and "aggregate(" not in plan("chunk_origin")
