@@ -448,3 +448,17 @@ def test_places_that_nobody_asks_for_are_not_looked_for(spark, sf):
     plan = lambda name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "origins" not in plan("chunk_sentences") and "aggregate(" not in plan("chunk_sentences")
     assert "origins" in plan("chunk_origin") and "aggregate(" not in plan("chunk_origin")
+
+
+def test_a_model_gets_bounded_parts_of_a_batch(spark):
+    class Counting(models.Embedder):
+        batch_size = 30
+
+        def embed_texts(self, texts):
+            return [[float(len(texts)), float(sum(map(len, texts)))] for _ in texts]
+
+    rows = spark.range(5000, numPartitions=1).select("id", F.current_timestamp().alias("at"), F.concat(F.col("id").cast("string"), F.expr("repeat('x', if(id >= 3000, 60000, 5))")).alias("text"))
+    got = Counting().embed(rows).select("id", "text", "vector", "at").where("id % 7 = 0 or id > 2900").select("id", F.length("text").alias("n"), "vector", "at").collect()
+    assert {r["id"] for r in got} == {i for i in range(5000) if i % 7 == 0 or i > 2900} and all(r["at"] for r in got)
+    assert max(r["vector"][0] for r in got) == 270 and max(r["vector"][1] for r in got) <= models.PART_BYTES
+    assert {r["vector"][0] % 30 for r in got if r["id"] < 2900} == {0.0}
